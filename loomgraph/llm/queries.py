@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, packing, pieces, quality_rules, secret_scan, token_counts
+from . import license_scan, near_dedup, packing, pieces, quality_rules, secret_scan, token_counts
 from .common import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op5_license_scan, op6_quality_rules, op7_token_counts, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_sentencepiece, op5_license_scan, op6_quality_rules, op7_token_counts, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

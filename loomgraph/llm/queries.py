@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, near_dedup, packing, pieces, quality_rules, secret_scan, token_counts
+from . import license_scan, near_dedup, packing, pieces, quality_rules, secret_scan, token_counts, vector_dedup
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_sentencepiece, op5_license_scan, op6_quality_rules, op7_token_counts, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_sentencepiece, op5_license_scan, op6_quality_rules, op7_token_counts, op8_vector_dedup, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

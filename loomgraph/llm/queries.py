@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, near_dedup, packing, pieces, quality_rules, secret_scan, token_counts, vector_dedup
+from . import license_scan, near_dedup, packing, pieces, quality_model, quality_rules, secret_scan, token_counts, vector_dedup
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_sentencepiece, op5_license_scan, op6_quality_rules, op7_token_counts, op8_vector_dedup, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_sentencepiece, op4_quality_model, op5_license_scan, op6_quality_rules, op7_token_counts, op8_vector_dedup, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -34,7 +34,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for spark, path in _staged:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session has ended: nothing to reach the folder with
             return
 
@@ -42,7 +42,7 @@ def _clean() -> None:
 def drop_staged(df_path: str) -> None:
     """Deletes a staged table that nothing reads any more."""
     for pair in [p for p in _staged if p[1] == df_path]:
-        _delete(*pair)
+        delete(*pair)
         _staged.remove(pair)
 
 

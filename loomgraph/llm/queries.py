@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, near_dedup, packing, pieces, quality_model, quality_rules, secret_scan, token_counts, vector_dedup
+from . import license_scan, near_dedup, packing, pieces, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts, vector_dedup
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -48,7 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_sentencepiece, op4_quality_model, op5_license_scan, op6_quality_rules, op7_token_counts, op8_vector_dedup, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_sentencepiece, op4_quality_model, op5_license_scan, op6_quality_rules, op7_token_counts, op8_vector_dedup, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

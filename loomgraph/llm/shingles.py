@@ -10,6 +10,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SEED = np.random.default_rng(20240501)
 _TABLE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLE_BYTES = _TABLE.copy()  # tells capitals apart
 for _upper in range(65, 91):  # A-Z count as a-z
     _TABLE[_upper] = _TABLE[_upper + 32]
 _SPACE = np.zeros(256, bool)

@@ -42,7 +42,7 @@ from .common import delete, shared_dir, staged
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a chunk, of text scanned at once, entries in a bucket, and bytes of strings in a bucket.
 CHUNK, SCAN = 8 << 20, 1 << 20
-ENTRIES, STRINGS = 2_000_000, 8_000_000
+ENTRIES, STRINGS = 1_500_000, 1_500_000
 NO_ID = np.iinfo(np.int64).max
 _FORTY_EIGHT = np.uint64((1 << 48) - 1)
 PACKED = "chunk long, ids binary, sizes binary, body binary"

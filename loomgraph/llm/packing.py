@@ -54,8 +54,8 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end:
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode([text.as_py() or ""])[0] + last
+            for doc, own in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids = own + last
                 n = len(ids) // 4
                 rows += [(doc, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cut(n, window)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

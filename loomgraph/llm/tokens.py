@@ -9,13 +9,15 @@ memory doesn't grow with the corpus.
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from unicodedata import is_normalized
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 LONGEST = 48
+#: Characters of text that are looked up at once.
+AT_ONCE = 1 << 21
 _loaded: dict[tuple, object] = {}
 
 
@@ -37,43 +39,95 @@ class WordCache:
         self.cut, self.encode, self.limit = cut, encode, limit
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = self.cut(text)
-            known = self.known
-            fresh = list({w for w in words if w not in known})
-            if fresh:
-                if len(known) + len(fresh) > self.limit:
-                    known.clear()
-                    fresh = list(set(words))
-                made = dict(zip(fresh, self.encode(fresh), strict=True))
-                known.update(made)
-                out.append(b"".join([known[w] for w in words]))
-                if len(known) > self.limit:
-                    known.clear()
-                elif any(len(w) > LONGEST for w in fresh):
-                    for w in fresh:
-                        if len(w) > LONGEST:
-                            del known[w]
-            else:
-                out.append(b"".join([known[w] for w in words]))
-        return out
-
-
-_BLANKS = re.compile("[ \n]+")
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and size <= AT_ONCE:
+                size += len(texts[stop] or "")
+                stop += 1
+            yield from self._some(texts[at:stop])
+            at = stop
+
+    def _some(self, texts: list[str | None]) -> Iterator[bytes]:
+        cut = [self.cut(t) if t else () for t in texts]
+        words = set().union(*cut)
+        if len(self.known) + len(words) > self.limit:
+            self.known.clear()
+        known = self.known
+        fresh = list(words.difference(known))
+        known.update(zip(fresh, self.encode(fresh), strict=True))
+        get = known.__getitem__
+        for own in cut:
+            yield b"".join(map(get, own))
+        for w in fresh:
+            if len(w) > LONGEST:
+                del known[w]
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, where that and Unicode's composed form are the same in either order; else the text itself."""
+    low = text.replace("Σ", "σ").lower()
+    return low if is_normalized("NFC", text) and is_normalized("NFC", low) else text
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is printable, else the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, more = [], 256
+    for b in range(256):
+        out.append(chr(b) if b in own else chr(more))
+        more += b not in own
+    return out
+
+
+_TAILS = ".,!?;:#*$%&|<>"
 
 
 def word_bpe(path: str) -> WordCache:
-    """Ids as little-endian 4-byte numbers, by a tokenizers file whose pre-tokenizer drops white space."""
+    """Ids as little-endian 4-byte numbers, by a tokenizers file whose normalizer composes and lower-cases and whose pre-tokenizer parts letters from signs and drops white space.
+
+    A new word of Latin letters with signs after it goes to the model straight
+    away, in two parts; any other word goes through the whole tokenizer.
+    """
 
     def make() -> WordCache:
-        import numpy as np
+        from array import array
+
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         fast = getattr(t, "encode_batch_fast", t.encode_batch)
-        return WordCache(_BLANKS.split, lambda words: [np.array(e.ids, "<u4").tobytes() for e in fast(words, add_special_tokens=False)])
+        model, letters = t.model.tokenize, byte_letters()
+        tails: dict[str, bytes] = {"": b""}
+
+        def ids(word: str) -> bytes:
+            spelled = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+            return array("I", [x.id for x in model(spelled)]).tobytes()
+
+        def encode(words: list[str]) -> list[bytes | None]:
+            out: list[bytes | None] = []
+            other: list[int] = []
+            cores: dict[str, bytes] = {}
+            for i, w in enumerate(words):
+                core = w.rstrip(_TAILS)
+                if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and is_normalized("NFC", core))) and core == core.lower():
+                    tail = w[len(core) :]
+                    if tail not in tails:
+                        if len(tails) > 10_000:
+                            tails.clear()
+                        tails[tail] = ids(tail) if tail else b""
+                    if core not in cores:
+                        cores[core] = ids(core)
+                    out.append(cores[core] + tails[tail])
+                else:
+                    other.append(i)
+                    out.append(None)
+            for i, e in zip(other, fast([words[i] for i in other], add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
+            return out
+
+        return WordCache(lambda text: lowered(text).replace("\n", " ").split(" "), encode)
 
     return loaded(("word_bpe", path), make)
 

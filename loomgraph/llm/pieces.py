@@ -7,15 +7,17 @@ piece. A character without a piece costs the least score minus 10 and is
 written as its UTF-8 bytes' pieces. Decoding joins pieces, turns markers into
 blanks and drops the one that encoding had put first.
 
-No piece has a marker after another character (checked when the model is
-loaded), so the best segmentation of a text is that of its words, each with
-its markers before it, and words are kept in a bounded cache.
+No piece has a marker after another character, or certain signs after a letter
+(both looked up when the model is loaded), so the best segmentation of a text
+is that of its words, each with its markers before it, and of a word that of
+its letters and the signs after them. Words are kept in a bounded cache.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,7 +127,10 @@ class Model:
         kinds = {i: kind for i, (_, _, kind) in enumerate(pieces)}
         self.surface = [bytes([int(p[3:5], 16)]) if kinds[i] == BYTE else b"" if kinds[i] == CONTROL else p.encode() for i, (p, _, _) in enumerate(pieces)]
         split = not any(MARK in p.lstrip(MARK) for p, _, _ in pieces)
-        self.words = tokens.WordCache((_WORDS if split else _WHOLE).findall, lambda ws: [np.array(self.viterbi(w), "<u4").tobytes() for w in ws])
+        # signs that no piece has after a letter: there, too, a word's best segmentation is that of its parts
+        held = {b for p, _, _ in pieces for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        self.signs = "".join(c for c in ".,!?;:#*$%&|<>" if c not in held)
+        self.words = tokens.WordCache((_WORDS if split else _WHOLE).findall, self._encode_words)
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -178,11 +183,28 @@ class Model:
             n = at
         return out[::-1]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        parts: dict[str, bytes] = {}
+
+        def ids(part: str) -> bytes:
+            out = parts.get(part)
+            if out is None:
+                out = parts[part] = array("I", self.viterbi(part)).tobytes()
+            return out
+
+        out = []
+        for w in words:
+            core = w.rstrip(self.signs)
+            out.append(ids(core) + ids(w[len(core) :]) if core and len(core) < len(w) and core[-1].isalpha() else ids(w))
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; none for a null or empty text."""
+        for ids in self.words([MARK + t.replace(" ", MARK) if t else None for t in texts]):
+            yield np.frombuffer(ids, "<u4")
+
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids; none for a null or empty text."""
-        if not text:
-            return np.zeros(0, "<u4")
-        return np.frombuffer(self.words([MARK + text.replace(" ", MARK)])[0], "<u4")
+        return next(self.encode_all([text]))
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         surface = self.surface
@@ -198,7 +220,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.load(path)
         for batch in batches:
-            ids = [model.encode(t.as_py()).astype("i4") for t in batch.column(1)]
+            ids = [x.astype("i4") for x in model.encode_all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -228,10 +250,9 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         is_byte[list(model.bytes.values())] = True
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                ids = model.encode(text)
-                rows.append((doc, len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), model.decode(ids) == text.replace(MARK, " ")))
+            texts = batch.column(1).to_pylist()
+            for doc, text, ids in zip(batch.column(0).to_pylist(), texts, model.encode_all(texts), strict=True):
+                rows.append((doc, len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), model.decode(ids) == (text or "").replace(MARK, " ")))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.bool_()), strict=True)], schema.replace(" long", "").replace(" boolean", "").split(", "))
 

@@ -51,8 +51,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_sentencepiece, op4_quality_model, op5_license_scan, op6_quality_rules, op7_token_counts, op8_vector_dedup, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_sentencepiece, op4_quality_model, op5_license_scan, op6_quality_rules, op7_token_counts, op8_vector_dedup, op9_packing, op10_secret_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -144,7 +144,7 @@ array_join(transform(aggregate(found, cast(array() as array<struct<start:bigint,
 
 
 def redact(docs: DataFrame, path: str = "doc_id") -> DataFrame:
-    """docs with every span found replaced by [kind], overlapping spans as one; rows, columns and null texts stay.
+    """docs with every span found replaced by [kind], overlapping spans as one; n_chars, where there is one, follows; rows, other columns and null texts stay.
 
     Only rows whose text may hold a secret move to meet their findings.
     """
@@ -153,6 +153,8 @@ def redact(docs: DataFrame, path: str = "doc_id") -> DataFrame:
     found = spans_by_blob(findings)
     held = docs.filter(may).withColumn("_sha", F.sha2("text", 256)).join(found.withColumnRenamed("sha", "_sha"), "_sha", "left")
     held = held.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(F.expr(_REDACTED)))
+    if "n_chars" in docs.columns:
+        held = held.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return docs.filter(~may).unionByName(held.select(*docs.columns))
 
 

@@ -418,7 +418,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes cut from text; where a cut splits a character, what is left of it goes too. Columns and rows stay, null texts too."""
+    """docs with the repeated bytes cut from text; where a cut splits a character, what is left of it goes too. n_chars, where there is one, follows; other columns, rows and null texts stay."""
     cut = repeats(docs, length, texts=True).filter("kept is not null").select(F.col("doc_id").alias("_id"), F.col("sha256").alias("_sha"), "kept").dropDuplicates(["_id", "_sha"])
 
     @F.pandas_udf("string")
@@ -426,4 +426,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
     met = docs.withColumn("_sha", F.sha2("text", 256)).join(cut.withColumn("_new", readable("kept")).drop("kept").withColumnRenamed("_sha", "_sha2"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2")), "left")
-    return met.withColumn("text", F.coalesce("_new", "text")).select(*docs.columns)
+    out = met.withColumn("text", F.coalesce("_new", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -68,8 +68,9 @@ def bounds(table: pa.Table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+def matrix(rows: list[bytes], kind: type) -> np.ndarray:
+    """Vectors of one length."""
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -102,7 +103,11 @@ EDGE = "a long, b long, cos float"
 
 
 def _best(own: np.ndarray, other: np.ndarray, cos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `most` nearest of each own."""
+    """The `most` nearest of each own, each once."""
+    order = np.lexsort((other, own))
+    own, other, cos = own[order], other[order], cos[order]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (other[1:] != other[:-1])])[: len(own)]
+    own, other, cos = own[new], other[new], cos[new]
     order = np.lexsort((-cos, own))
     own, other, cos = own[order], other[order], cos[order]
     first = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
@@ -171,7 +176,7 @@ def orders(classes: DataFrame, seed: int) -> DataFrame:
         out = []
         for size in sorted(set(map(len, units))):
             at = np.array([i for i, u in enumerate(units) if len(u) == size])
-            out.append(_beside(regions[at], ids[at], np.frombuffer(b"".join(units[i] for i in at), np.float32).reshape(len(at), -1), SIDE, 3))
+            out.append(_beside(regions[at], ids[at], np.frombuffer(b"".join(units[i] for i in at), np.float32).reshape(len(at), -1), SIDE, K))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(e.num_rows for e in out) else _edges(*[np.zeros(0)] * 3)
 
     def seamed(key: tuple, table: pa.Table) -> pa.Table:
@@ -210,10 +215,11 @@ def refine(lists: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 2):
             at = bounds(table, 2)
-            ids, old, worst, x = table["b"].to_numpy(), table["old"].to_numpy(), table["worst"].to_numpy(), matrix(table["small"], np.float32)
+            ids, old, worst, small = table["b"].to_numpy(), table["old"].to_numpy(), table["worst"].to_numpy(), table["small"].to_pylist()
             out = []
             for s, e in zip(at[:-1], at[1:], strict=True):
-                cos = x[s:e] @ x[s:e].T
+                x = matrix(small[s:e], np.float32)
+                cos = x @ x.T
                 fresh = ~(old[s:e, None] & old[None, s:e])
                 np.fill_diagonal(fresh, False)
                 i, j = np.nonzero(fresh & (cos > worst[s:e, None]))
@@ -264,7 +270,7 @@ def audit(classes: DataFrame, labels: DataFrame, threshold: float) -> float:
             for s in set(spaces) & shared.value.keys():
                 at = np.flatnonzero(spaces == s)
                 reps, x = shared.value[s]
-                i, j = np.nonzero(x @ matrix(batch.column(2).take(pa.array(at)), np.float64).T >= threshold)
+                i, j = np.nonzero(x @ matrix(batch.column(2).take(pa.array(at)).to_pylist(), np.float64).T >= threshold)
                 ok = reps[i] != ids[at][j]
                 yield pa.RecordBatch.from_arrays([pa.array(reps[i[ok]]), pa.array(ids[at][j[ok]])], ["a", "b"])
 
@@ -286,10 +292,12 @@ def counted(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
             at = bounds(table, 3)
-            i, j, own, ids, copies, x = (*(table[k].to_numpy() for k in ("i", "j", "_own", "rep", "copies")), matrix(table["unit"], np.float64))
+            i, j, own, ids, copies = (table[k].to_numpy() for k in ("i", "j", "_own", "rep", "copies"))
+            units = table["unit"].to_pylist()
             n = np.zeros(len(ids), np.int64)
             for s, e in zip(at[:-1], at[1:], strict=True):
-                linked = x[s:e] @ x[s:e].T >= threshold
+                x = matrix(units[s:e], np.float64)
+                linked = x @ x.T >= threshold
                 if i[s] != j[s]:
                     linked &= own[s:e, None] != own[None, s:e]
                 np.fill_diagonal(linked, False)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, near_dedup, packing, pieces, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts, vector_dedup
+from . import license_scan, near_dedup, oracles, packing, pieces, quality_model, quality_rules, secret_scan, suffix_dedup, token_counts, vector_dedup
 from .common import table
 
 
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -49,7 +49,7 @@ def twitter(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
 def adjacency(spark: SparkSession, path: str, both_ways: bool = True, seed: int = 0) -> DataFrame:
     """A vertex, a field that is skipped, and its neighbours on a line."""
     parts = _lines(spark, path, "#").select(F.split("value", r"\s+").alias("p"))
-    ends = parts.select(F.get("p", F.lit(0)).cast("long").alias("src"), F.explode(F.expr("slice(p, 3, greatest(0, size(p) - 2))")).cast("long").alias("dst"))
+    ends = parts.select(F.get("p", F.lit(0)).cast("long").alias("src"), F.explode(F.expr("cast(slice(p, 3, greatest(0, size(p) - 2)) as array<bigint>)")).alias("dst"))
     return _both(ends.select("src", "dst", _weight(seed)), both_ways)
 
 

@@ -49,9 +49,9 @@ def needed(n: int, threshold: float) -> int:
 
 
 def normal(docs: DataFrame, path: str = "doc_id") -> DataFrame:
-    """doc_id, and the words of each line; a null text is empty."""
+    """doc_id, the text in lower case (a null text is empty) and a hash that tells texts of a repeated doc_id apart."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    return docs.select(F.col(path).alias("doc_id"), text.alias("_text"))
+    return docs.select(F.col(path).alias("doc_id"), text.alias("_text")).withColumn("_key", F.sha2("_text", 256))
 
 
 def _quoted(pattern: str) -> str:
@@ -86,7 +86,7 @@ def template_table(docs: DataFrame, templates: dict[str, str], threshold: float,
 
 
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, path: str = "doc_id", frequency: dict[str, int] | None = None) -> DataFrame:
-    """Every (doc_id, line, label, overlap, containment) with containment at least the threshold; lines count from 0.
+    """Every (doc_id, _key, line, label, overlap, containment) with containment at least the threshold; lines count from 0.
 
     Empty texts and lines match nothing; a repeated line gives a row each time.
     """
@@ -94,7 +94,7 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
     frequency = frequency if frequency is not None else frequencies(docs, templates, path)
     table = template_table(docs, templates, threshold, frequency)
     prefixes = F.array(*map(F.lit, sorted({w for t in table for w in t["prefix"]})))
-    blocks = normal(docs, path).select("doc_id", F.posexplode(F.split("_text", "\n")).alias("line", "_block"))
+    blocks = normal(docs, path).select("doc_id", "_key", F.posexplode(F.split("_text", "\n")).alias("line", "_block"))
     blocks = blocks.withColumn("_words", F.array_distinct(F.expr(words_of("_block")))).filter(F.arrays_overlap("_words", prefixes))
     rows = [F.struct(F.lit(t["label"]).alias("label"), F.array(*map(F.lit, t["words"])).alias("t_words"), F.lit(t["least"]).alias("least"), F.lit(w).alias("token"), F.lit(i).alias("place")) for t in table for i, w in enumerate(t["prefix"])]
     fixed = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
@@ -102,7 +102,7 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
     pairs = shared.join(F.broadcast(fixed), "token").filter("size(_words) >= least and size(t_words) - place >= least")
     # the overlap verified once for each pair: at its first shared prefix word
     pairs = pairs.withColumn("_both", F.array_intersect("t_words", "_words")).filter("token = _both[0] and size(_both) >= least")
-    return pairs.selectExpr("doc_id", "line", "label", "size(_both) as overlap", "cast(size(_both) as double) / size(t_words) as containment")
+    return pairs.selectExpr("doc_id", "_key", "line", "label", "size(_both) as overlap", "cast(size(_both) as double) / size(t_words) as containment")
 
 
 def _place(phrase: str) -> str:
@@ -125,21 +125,24 @@ def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         joined = joined.withColumn(f"_p{i}", F.expr(_place(phrase)))
     base = joined.select(
         "doc_id",
+        "_key",
         F.expr("cast(size(_words) as bigint)").alias("n_words"),
         *(f"_p{i}" for i in range(len(PHRASES))),
     ).withColumn("_all", F.concat(*(f"_p{i}" for i in range(len(PHRASES)))))
     labels = F.array_compact(F.array(*(F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))))
     base = base.select(
         "doc_id",
+        "_key",
         "n_words",
         F.expr("cast(size(_all) as bigint)").alias("n_base"),
         F.array_min("_all").cast("long").alias("first_word"),
         F.array_max("_all").cast("long").alias("last_word"),
         F.array_sort(labels).alias("_base"),
     )
-    found = matches(docs, threshold=threshold).groupBy("doc_id").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
+    found = matches(docs, threshold=threshold).groupBy("doc_id", "_key").agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     none = F.array().cast("array<string>")
-    return base.join(found, "doc_id", "left").select(
+    found = found.withColumnsRenamed({"doc_id": "_id", "_key": "_of"})
+    return base.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left").select(
         "doc_id",
         "n_words",
         "n_base",

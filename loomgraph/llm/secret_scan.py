@@ -83,7 +83,9 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
     new_ledger = unseen.select("sha", F.lit("".join(map(_rule_key, RULES))).alias("rules_seen"))
     hints = F.array(*(F.expr(f"if({r.hint}, {i}, -1)") for i, r in enumerate(RULES)))
     hinted = of.withColumn("_low", F.lower("_text")).select("path", "sha", "_text", F.array_remove(hints, F.lit(-1)).alias("_hints")).filter("size(_hints) > 0")
-    todo = hinted.join(unseen.select("path", "sha", "rules_seen"), ["path", "sha"])
+    # the path of a blob may be null: it holds the blob all the same
+    one = unseen.select(F.col("path").alias("_path"), F.col("sha").alias("_sha"), "rules_seen")
+    todo = hinted.join(one, (F.col("sha") == F.col("_sha")) & F.col("path").eqNullSafe(F.col("_path")))
     todo = todo.select("sha", "_text", "rules_seen", F.explode("_hints").alias("_rule"))
     parts = []
     for i, r in enumerate(RULES):
@@ -151,11 +153,13 @@ def redact(docs: DataFrame, path: str = "doc_id") -> DataFrame:
     may = F.coalesce(F.expr(_hinted("text")), F.lit(False))
     _, _, findings = scan(docs.filter(may), path=path)
     found = spans_by_blob(findings)
-    held = docs.filter(may).withColumn("_sha", F.sha2("text", 256)).join(found.withColumnRenamed("sha", "_sha"), "_sha", "left")
-    held = held.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(F.expr(_REDACTED)))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    held = docs.filter(may).select(whole.alias("_row"), F.col("text"), F.sha2("text", 256).alias("sha")).join(found, "sha", "left")
+    row = F.col("_row").withField("text", F.expr(_REDACTED))
     if "n_chars" in docs.columns:
-        held = held.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return docs.filter(~may).unionByName(held.select(*docs.columns))
+        row = row.withField("n_chars", F.length(F.expr(_REDACTED)).cast(docs.schema["n_chars"].dataType))
+    changed = held.select(F.when(F.col("found").isNull(), F.col("_row")).otherwise(row).alias("_row")).select("_row.*")
+    return docs.filter(~may).unionByName(changed)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -425,8 +425,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def readable(x):
         return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    met = docs.withColumn("_sha", F.sha2("text", 256)).join(cut.withColumn("_new", readable("kept")).drop("kept").withColumnRenamed("_sha", "_sha2"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2")), "left")
-    out = met.withColumn("text", F.coalesce("_new", "text"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.select(whole.alias("_row"), F.col("doc_id").alias("_own"), F.sha2("text", 256).alias("_text"))
+    found = cut.select("_id", "_sha", readable("kept").alias("_new"))
+    met = own.join(found, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left")
+    row = F.col("_row").withField("text", F.col("_new"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length("_new").cast(docs.schema["n_chars"].dataType))
+    return met.select(F.when(F.col("_new").isNull(), F.col("_row")).otherwise(row).alias("_row")).select("_row.*")

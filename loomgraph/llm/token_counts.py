@@ -22,6 +22,8 @@ from . import tokens
 
 SEPARATOR = 50256
 BLOCK = 1 << 16
+#: Stands for a null doc_id within a stream.
+NO_ID = -(1 << 63)
 BLOCKS = "stream string, block long, ids binary, docs binary"
 
 
@@ -43,7 +45,7 @@ def token_streams(docs: DataFrame, path: str | None = None, separator: int = SEP
         encoding = tokens.byte_bpe(path)
         stream, number = f"part-{TaskContext.get().partitionId():07d}", 0
         held: list[np.ndarray] = []
-        ends: list[tuple[int, int]] = []  # place of a separator after the last block, and its document
+        ends: list[tuple[int, int | None]] = []  # place of a separator after the last block, and its document
         size = 0
 
         def cut(all_of_it: bool) -> Iterator[pa.RecordBatch]:
@@ -56,7 +58,7 @@ def token_streams(docs: DataFrame, path: str | None = None, separator: int = SEP
             for at in range(0, upto, block):
                 stop, own = min(at + block, upto), []
                 while k < len(ends) and ends[k][0] < stop:
-                    own.append(ends[k][1])
+                    own.append(NO_ID if ends[k][1] is None else ends[k][1])
                     k += 1
                 row = [[stream], [number], [flat[at:stop].tobytes()], [np.array(own, "<i8").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["stream", "block", "ids", "docs"])
@@ -142,7 +144,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> D
         "size(lengths) as _ended",
     )
     rows = pieces.selectExpr("stream", "_ordinal", "docs", "_open", "_ended", "posexplode(lengths) as (_i, _n)")
-    return rows.selectExpr("stream", "_ordinal + _i as ordinal", "get(docs, _i) as doc_id", "_n + if(_i = 0, _open, 0L) as n_tokens", "_i < _ended as ended")
+    return rows.selectExpr("stream", "_ordinal + _i as ordinal", f"nullif(get(docs, _i), cast('{NO_ID}' as bigint)) as doc_id", "_n + if(_i = 0, _open, 0L) as n_tokens", "_i < _ended as ended")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -179,3 +179,12 @@ def test_against_plain_python(spark, seed):
             weight += w
     assert sum(r.weight for r in forest) == weight
     assert sum(table(scan.degree_cnt(g), "vertex", "degree").values()) == len(edges)
+
+
+def test_aggregates(spark):
+    from loomgraph.functions import any_of, greatest_by, least_by, sum_at_least
+
+    df = spark.createDataFrame([(1, 2.0, 5), (1, 1.0, 7), (1, 1.0, 3), (2, 4.0, 1)], "k long, d double, n long")
+    assert {r.k: (r.b.d, r.b.n) for r in df.groupBy("k").agg(least_by("d", "n").alias("b")).collect()} == {1: (1.0, 3), 2: (4.0, 1)}
+    assert {r.k: (r.d, r.total) for r in sum_at_least(df, "k", "d", "n").collect()} == {1: (1.0, 10), 2: (4.0, 1)}
+    assert df.agg(greatest_by("n", "d", "k").alias("x"), any_of(df.n > 6).alias("y")).first()[:] == (1, True)

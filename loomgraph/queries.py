@@ -14,7 +14,7 @@ from .gen import graphs
 from .graph import Graph
 from .operators import balls, belief, centrality, components, factors, rank, scan, sets, traversal
 from .plans.program import VertexProgram, run
-from .streaming import online_cc
+from .streaming import feeder, online_cc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,10 +32,8 @@ def _cc_online(spark: SparkSession, d: str) -> DataFrame:
     g = fixtures.bulk_trade(spark, d)
     home = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
     at = f"{home.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    part = F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(4))
-    g.edges.select("src", "dst").repartition(4, part).write.parquet(f"{at}/edges")
-    stream = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(f"{at}/edges")
-    query = online_cc.online_cc(stream, f"{at}/labels", g.num_vertices).trigger(availableNow=True).start()
+    feeder.feed(g.edges, f"{at}/edges")
+    query = online_cc.online_cc(feeder.stream(spark, f"{at}/edges"), f"{at}/labels", g.num_vertices).trigger(availableNow=True).start()
     query.awaitTermination()
     return online_cc.labels(spark, f"{at}/labels", g.num_vertices)
 

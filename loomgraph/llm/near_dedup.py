@@ -8,9 +8,11 @@ depth at which two texts are neighbours adapts to how crowded their region is.
 
 Candidates come in rounds, each verified on the full sets. In the first, a
 text meets its nearest neighbours and its run's smallest id; in later rounds,
-while links are still found, those nearest texts that are not in its component
-yet, in growing number, and its run's text with the most links. A group of
-thousands of near copies thus costs some neighbours a text, not all pairs.
+while links are still found, its nearest texts of other components, in growing
+number. A component of more than `CROWD` classes is met as a whole: each text
+that shares a region with it and isn't in it is compared with all its texts, in
+blocks that yield links only. So a group of thousands of near copies costs some
+neighbours a text, and no text is lost at its edge.
 
 The orders are range-partitioned by region, following values and id, so a
 crowded region spreads over tasks; the rows at the edges of tasks are brought
@@ -34,7 +36,9 @@ from .components import components
 
 VALUES, ORDERS, DEPTH = 80, 20, 4
 #: Neighbours on either side, by round.
-NEAR = (2, 8, 64)
+NEAR = (1, 3, 8)
+#: Classes of a component that is met as a whole, from one more on; and texts of either side in a block.
+CROWD, BLOCK = 16, 128
 _RANDOM = np.random.default_rng(77)
 _TIMES = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -98,13 +102,19 @@ def forest(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "n_shingles", "sig").mapInArrow(run, "region long, tail long, id long, n long")
 
 
-def _neighbours(rows: dict[str, np.ndarray], near: int, first: bool) -> np.ndarray:
-    """Pairs (a, b, lower id first) of one task's sorted rows: up to `near` on each side in the same region, and each run's hub. After the first round, of different components only."""
-    region, ids, n, comp, links = (rows[k] for k in ("region", "id", "n", "component", "links"))
-    found = []
+def _neighbours(rows: dict[str, np.ndarray], near: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of one task's sorted rows, pairs (a, b), the lower id first, and demands (id, component).
+
+    Pairs lie within `near` places in a region; in the first round also at its
+    run's least id. After that they are of different small components, and a
+    row beside a crowded component of its region demands it, where its own is
+    smaller.
+    """
+    region, ids, n, comp, crowd = (rows[k] for k in ("region", "id", "n", "component", "crowd"))
+    found, asked = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
 
     def keep(i: np.ndarray, j: np.ndarray, any_size: bool = False) -> None:
-        ok = (ids[i] != ids[j]) & (comp[i] != comp[j])
+        ok = (ids[i] != ids[j]) & (comp[i] != comp[j]) & (np.maximum(crowd[i], crowd[j]) <= CROWD)
         if not any_size:
             ok &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 80
         i, j = ids[i[ok]], ids[j[ok]]
@@ -112,19 +122,23 @@ def _neighbours(rows: dict[str, np.ndarray], near: int, first: bool) -> np.ndarr
 
     size = len(ids)
     if not size:
-        return np.zeros((0, 2), np.int64)
+        return found[0], asked[0]
     edge = np.flatnonzero(np.diff(region, prepend=region[0] - 1))
     run = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, size)))
     if first:
         for s in range(1, min(near, size - 1) + 1):
             i = np.flatnonzero(region[:-s] == region[s:])
             keep(i, i + s, s == 1)  # so that every text that shares a region is in a pair, and moves
+        hub = np.lexsort((ids, run))[edge]
+        members = np.flatnonzero((np.diff(np.append(edge, size)) > 1)[run])
+        keep(members, hub[run[members]])
     else:
         # stretches of one component count as one step: a text meets the last `near` rows before its stretch and the first after it
-        stretch = np.flatnonzero(np.diff(region, prepend=region[0] - 1).astype(bool) | np.diff(comp, prepend=comp[0] - 1).astype(bool))
+        new = np.diff(region, prepend=region[0] - 1).astype(bool) | np.diff(comp, prepend=comp[0] - 1).astype(bool)
+        stretch = np.flatnonzero(new)
         which = np.repeat(np.arange(len(stretch)), np.diff(np.append(stretch, size)))
         begin, end = stretch[which], np.append(stretch[1:], size)[which]
-        mixed_run = np.add.reduceat(np.isin(np.arange(size), stretch), edge) > 1
+        mixed_run = np.add.reduceat(new.astype(np.int64), edge) > 1
         open_ = np.flatnonzero(mixed_run[run])
         for s in range(near):
             for j in (begin[open_] - 1 - s, end[open_] + s):
@@ -132,30 +146,33 @@ def _neighbours(rows: dict[str, np.ndarray], near: int, first: bool) -> np.ndarr
                 i, k = open_[ok], j[ok]
                 same = region[i] == region[k]
                 keep(i[same], k[same])
-    order = np.lexsort((ids, -links, run))
-    hub = order[edge]
-    members = np.arange(size)
-    lone = np.diff(np.append(edge, size)) == 1
-    members = members[~lone[run]]
-    keep(members, hub[run[members]])
-    return np.unique(np.concatenate(found), axis=0)
+        full = open_[crowd[open_] > CROWD]
+        for r, c in np.unique(np.stack([run[full], comp[full]], 1), axis=0) if len(full) else ():
+            own = np.arange(edge[r], edge[r + 1] if r + 1 < len(edge) else size)
+            most = crowd[own[comp[own] == c]][0]
+            own = own[(comp[own] != c) & ((crowd[own] < most) | ((crowd[own] == most) & (comp[own] > c)))]
+            asked.append(np.stack([ids[own], np.full(len(own), c)], 1))
+    return np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(asked), axis=0)
+
 
+_ROW = "region long, tail long, id long, n long, component long, crowd long"
 
-_ROW = "region long, tail long, id long, n long, component long, links long"
+
+PAIR, DEMAND = -1, -2
 
 
 def _pairs_of(ordered: DataFrame, near: int, first: bool) -> DataFrame:
-    names = ["region", "tail", "id", "n", "component", "links"]
+    names = ["region", "tail", "id", "n", "component", "crowd"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         rows = {k: np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in parts]) for i, k in enumerate(names)}
-        pairs = _neighbours(rows, near, first)
-        task, none = TaskContext.get().partitionId(), np.full(len(pairs), -1)
-        blank = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(none), *[blank] * 6], ["a", "b", "task", *names])
+        task = TaskContext.get().partitionId()
+        for kind, made in zip((PAIR, DEMAND), _neighbours(rows, near, first), strict=True):
+            blank = pa.nulls(len(made), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array(np.full(len(made), kind)), *[blank] * 6], ["a", "b", "task", *names])
         size = len(rows["id"])
         ends = np.unique(np.concatenate([np.arange(min(near, size)), np.arange(max(0, size - near), size)]))
         blank = pa.nulls(len(ends), pa.int64())
@@ -165,21 +182,22 @@ def _pairs_of(ordered: DataFrame, near: int, first: bool) -> DataFrame:
 
 
 def candidates(rows: DataFrame, near: int, first: bool) -> DataFrame:
-    """Distinct pairs of neighbours in the sorted orders, those across the edges of tasks included."""
+    """Distinct (a, b, task) of neighbours in the sorted orders, those across the edges of tasks included; task tells pairs from demands."""
     ordered = rows.repartitionByRange("region", "tail", "id").sortWithinPartitions("region", "tail", "id")
     made, made_at = staged_as(_pairs_of(ordered, near, first), "candidates")
-    inner = made.filter("task = -1").select("a", "b")
+    inner = made.filter("task < 0").select("a", "b", "task")
     # a seam is the end of one task and the start of the next: a few rows, in a group of their own
     ends = made.filter("task >= 0")
     seams = ends.select("*", F.explode(F.expr("array(task, task + 1)")).alias("seam"))
 
     def join(key: tuple, batch: pa.Table) -> pa.Table:
         t = batch.sort_by([("region", "ascending"), ("tail", "ascending"), ("id", "ascending")])
-        rows = {k: t[k].to_numpy() for k in ("region", "id", "n", "component", "links")}
-        pairs = _neighbours(rows, near, first)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        rows = {k: t[k].to_numpy() for k in ("region", "id", "n", "component", "crowd")}
+        made = _neighbours(rows, near, first)
+        both = np.concatenate(made)
+        return pa.table({"a": both[:, 0], "b": both[:, 1], "task": np.repeat(np.array([PAIR, DEMAND]), [len(x) for x in made])})
 
-    across = seams.drop("a", "b", "task").groupBy("seam").applyInArrow(join, "a long, b long")
+    across = seams.drop("a", "b", "task").groupBy("seam").applyInArrow(join, "a long, b long, task long")
     return inner.unionByName(across).distinct()
 
 
@@ -214,46 +232,81 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], ["a", "b"])
 
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
+    # merge joins at every size: texts move once or twice in proportion to the pairs, and hot ids can be split
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "_ta", "_tb")
     return met.mapInArrow(run, "a long, b long")
 
 
+def meet_crowds(demands: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links (a, b) between texts and the crowded components that they demand (id, component): every member compared, in blocks of members and of texts."""
+    asking = demands.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    shape = asking.join(sizes, "component").select("component", "_parts", F.ceil(F.col("crowd") / BLOCK).alias("_blocks"))
+    member = labels.withColumnRenamed("node", "id").join(shape, "component").select("component", F.pmod(F.xxhash64("id"), "_blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "id", F.lit(True).alias("member"))
+    asker = demands.join(shape, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "_parts").alias("part"), "id", F.lit(False).alias("member"))
+    rows = member.unionByName(asker).join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id").select("component", "block", "part", "id", "member", "text")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        data, offsets = shingles.bytes_of(t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0))
+        sets = [shingles.shingle_set(data[a:b], size) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        inside = t["member"].to_numpy(zero_copy_only=False)
+        ids, ours, theirs = t["id"].to_numpy(), np.flatnonzero(inside), np.flatnonzero(~inside)
+        links = []
+        if len(ours):
+            flat = np.concatenate([sets[i] for i in ours])
+            owner = np.repeat(np.arange(len(ours)), [len(sets[i]) for i in ours])
+            order = np.argsort(flat, kind="stable")
+            flat, owner, n = flat[order], owner[order], np.array([len(sets[i]) for i in ours])
+            for x in theirs:
+                first, last = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+                times = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+                both = np.bincount(owner[at], minlength=len(ours))
+                links += [(ids[x], ids[ours[m]]) for m in np.flatnonzero((both > 0) & (100 * both >= percent * (n + len(sets[x]) - both)))]
+        return pa.table({"a": pa.array([int(a) for a, _ in links], pa.int64()), "b": pa.array([int(b) for _, b in links], pa.int64())})
+
+    return rows.groupBy("component", "block", "part").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of docs.
 
     size: words in a shingle; percent: the least similarity. Null, empty and
     wordless texts have no shingles and are components of their own. Rows that
-    repeat a doc_id count as one document, whose texts all link. Other columns
-    are not read. An empty table gives an empty result.
+    repeat a doc_id are each judged by their own text; what either links with,
+    the id links with. Other columns are not read. An empty table gives an
+    empty result.
     """
     sigs = staged(signatures(docs, size), "signatures")
     name = ["h1", "h2", "n_shingles"]
     classes = staged(sigs.filter("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
     reps = sigs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").filter("sig is not null")
     rows = staged(forest(reps), "forest")
-    plain = rows.withColumns({"component": F.col("id"), "links": F.lit(0).cast("long")})
-    labels = links = texts = None
-    seen = None
-    for number, near in enumerate(NEAR):
-        if number == 0:
-            pairs = staged(candidates(plain, near, True), "pairs")
-            shared = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
-            texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared, "doc_id", "left_semi"), "texts")
-            fresh = pairs
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-            known = labels.withColumnRenamed("node", "id").join(degree, "id", "left")
-            at = rows.join(known, "id", "left").select("region", "tail", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-            pairs = staged(candidates(at, near, False), "pairs")
-            fresh = pairs.join(seen, ["a", "b"], "left_anti")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = staged(verify(fresh, texts, size, percent), "links")
-        if number and found.isEmpty():
+    plain = rows.withColumns({"component": F.col("id"), "crowd": F.lit(1).cast("long")})
+    found = staged(candidates(plain, NEAR[0], True), "pairs")
+    pairs = found.select("a", "b")
+    shared = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
+    # merge joins at every size: texts move in proportion to the input, and hot ids can be split
+    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.hint("merge"), "doc_id", "left_semi"), "texts")
+    links = staged(verify(pairs, texts, size, percent), "links")
+    labels = components(links)
+    seen, met = pairs, None
+    for near in NEAR[1:]:
+        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("crowd"))
+        known = labels.withColumnRenamed("node", "id").join(sizes, "component")
+        at = rows.join(known, "id", "left").select("region", "tail", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("crowd", F.lit(1)).cast("long").alias("crowd"))
+        found = staged(candidates(at, near, False), "pairs")
+        pairs = found.filter(F.col("task") == PAIR).select("a", "b")
+        demands = found.filter(F.col("task") == DEMAND).select(F.col("a").alias("id"), F.col("b").alias("component")).join(sizes, "component")
+        if met is not None:  # a component as it was needn't be met again
+            demands = demands.join(met, ["id", "component", "crowd"], "left_anti")
+        met = demands if met is None else met.unionByName(demands)
+        more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent)
+        more = staged(more.unionByName(meet_crowds(demands.select("id", "component"), labels, sizes, texts, size, percent)), "links")
+        if more.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
+        seen, links = seen.unionByName(pairs), links.unionByName(more)
         labels = components(links)
     own = sigs.join(classes, name, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    # a repeated doc_id ties the classes of its texts together
     out = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -12,7 +12,10 @@ while links are still found, its nearest texts of other components, in growing
 number. A component of more than `CROWD` classes is met as a whole: each text
 that shares a region with it and isn't in it is compared with all its texts, in
 blocks that yield links only. So a group of thousands of near copies costs some
-neighbours a text, and no text is lost at its edge.
+neighbours a text, and no text is lost at its edge. At last, in each region that
+is wider than the neighbours reach, all texts of different small components are
+compared, in blocks too: texts that share much but don't link crowd a region
+without being a component.
 
 The orders are range-partitioned by region, following values and id, so a
 crowded region spreads over tasks; the rows at the edges of tasks are brought
@@ -39,6 +42,8 @@ VALUES, ORDERS, DEPTH = 80, 20, 4
 NEAR = (1, 3, 8)
 #: Classes of a component that is met as a whole, from one more on; and texts of either side in a block.
 CROWD, BLOCK = 16, 128
+#: Texts of either side in a block of a wide region, and shingles counted at once there.
+WIDE, COLUMNS = 256, 4096
 _RANDOM = np.random.default_rng(77)
 _TIMES = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -267,6 +272,67 @@ def meet_crowds(demands: DataFrame, labels: DataFrame, sizes: DataFrame, texts:
     return rows.groupBy("component", "block", "part").applyInArrow(run, "a long, b long")
 
 
+def _known(rows: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of the orders with their component and its classes."""
+    known = labels.withColumnRenamed("node", "id").join(sizes, "component")
+    return rows.join(known, "id", "left").select("region", "tail", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("crowd", F.lit(1)).cast("long").alias("crowd"))
+
+
+def _sizes(labels: DataFrame) -> DataFrame:
+    return labels.groupBy("component").agg(F.count(F.lit(1)).alias("crowd"))
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of some sets share."""
+    every, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.flatnonzero((times > 1)[column])  # what one set alone holds counts nowhere
+    place = (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[shared][order], place[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, [at, at + COLUMNS])
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[owner[a:b], place[a:b] - at] = 1
+        both += holds @ holds.T
+    return both.astype(np.int64)
+
+
+def meet_regions(at: DataFrame, near: int, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b), one for each two components that a block links, between small components of regions with more rows than `near` places reach: every two texts compared, in blocks."""
+    small = at.filter(F.col("crowd") <= CROWD).select("region", "id", "component")
+    wide = small.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
+    wide = wide.filter((F.col("_n") > near + 1) & (F.col("_low") != F.col("_high"))).select("region", F.ceil(F.col("_n") / WIDE).alias("_blocks"))
+    cut = staged(small.join(wide, "region").withColumn("own", F.pmod(F.xxhash64("id"), "_blocks")), "wide")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = shingles.bytes_of(batch.column(1))
+            sets = [shingles.shingle_set(data[a:b], size).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    some = texts.withColumnRenamed("doc_id", "id").join(cut.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "text")
+    sets = staged(some.mapInArrow(shingled, "id long, shingles binary"), "sets")
+    spread = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    keyed = spread.select("region", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "id", "component")
+    rows = keyed.join(sets.hint("merge"), "id").select("region", "i", "j", "own", "id", "component", "shingles")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+        own, ids, comp = (t[k].to_numpy() for k in ("own", "id", "component"))
+        n, both = np.array([len(s) for s in sets]), overlaps(sets)
+        linked = np.triu((both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both)), 1) & (comp[:, None] != comp[None, :])
+        if key[1].as_py() != key[2].as_py():
+            linked &= own[:, None] != own[None, :]
+        x, y = np.nonzero(linked)
+        ends = np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])], 1)
+        once = np.unique(ends, axis=0, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(ids[x[once]], pa.int64()), "b": pa.array(ids[y[once]], pa.int64())})
+
+    return rows.groupBy("region", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of docs.
 
@@ -291,10 +357,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labels = components(links)
     seen, met = pairs, None
     for near in NEAR[1:]:
-        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("crowd"))
-        known = labels.withColumnRenamed("node", "id").join(sizes, "component")
-        at = rows.join(known, "id", "left").select("region", "tail", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("crowd", F.lit(1)).cast("long").alias("crowd"))
-        found = staged(candidates(at, near, False), "pairs")
+        sizes = _sizes(labels)
+        found = staged(candidates(_known(rows, labels, sizes), near, False), "pairs")
         pairs = found.filter(F.col("task") == PAIR).select("a", "b")
         demands = found.filter(F.col("task") == DEMAND).select(F.col("a").alias("id"), F.col("b").alias("component")).join(sizes, "component")
         if met is not None:  # a component as it was needn't be met again
@@ -306,6 +370,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             break
         seen, links = seen.unionByName(pairs), links.unionByName(more)
         labels = components(links)
+    more = staged(meet_regions(_known(rows, labels, _sizes(labels)), near, texts, size, percent), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     own = sigs.join(classes, name, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -79,6 +79,28 @@ def test_near_duplicates_of_nothing(docs):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 5, 7]
 
 
+def crowd_texts(n, pairs, seed=3):
+    """n texts at 0.78 by a shared template, with `pairs` planted pairs at 0.807."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    template = [word() for _ in range(159)]
+    out = [template + [word() for _ in range(22)] for _ in range(n)]
+    for k in range(pairs):
+        out[2 * k + 1][159:162] = out[2 * k][159:162]
+    rng.shuffle(out)
+    return [" ".join(x) for x in out]
+
+
+def test_near_duplicates_in_a_region_crowded_by_texts_that_do_not_link(spark):
+    rows = crowd_texts(1200, 60)
+    sets = shingle_sets(rows, 4)
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(links) == 60
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 4).collect()}
+    assert [got[i] for i in range(len(rows))] == union_find(len(rows), links)
+
+
 def removed(rows, length):
     first = {}
     data = [(t or "").encode() for t in rows]

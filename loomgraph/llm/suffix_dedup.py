@@ -47,7 +47,7 @@ NO_ID = np.iinfo(np.int64).max
 _FORTY_EIGHT = np.uint64((1 << 48) - 1)
 PACKED = "chunk long, ids binary, sizes binary, body binary"
 _ENTRY = np.dtype([("seed", "<u4"), ("low", "<u4"), ("high", "<u2"), ("doc", "<i8")])
-_ANSWER = np.dtype([("seed", "<u4"), ("doc", "<i8")])
+_ANSWER = np.dtype([("seed", "<u4"), ("low", "<u4"), ("high", "<u2"), ("doc", "<i8")])
 _RUN = np.dtype([("seed", "<u4"), ("low", "<u4"), ("high", "<u2"), ("at", "<u2"), ("n", "<u2"), ("doc", "<i8")])
 
 
@@ -199,7 +199,7 @@ def meet(key: tuple, table: pa.Table) -> pa.Table:
     e, row = _unpack(table["entries"], _ENTRY)
     seed, doc, mark = e["seed"], e["doc"], _marks(e)
     order = np.lexsort((mark, seed))
-    seed, mark, doc, row = seed[order], mark[order], doc[order], row[order]
+    e, seed, mark, doc, row = e[order], seed[order], mark[order], doc[order], row[order]
     new_seed = np.concatenate([[True], seed[1:] != seed[:-1]])
     new_mark = new_seed | np.concatenate([[True], mark[1:] != mark[:-1]])
     first = np.flatnonzero(new_seed)
@@ -207,7 +207,9 @@ def meet(key: tuple, table: pa.Table) -> pa.Table:
     different = np.repeat(np.add.reduceat(new_mark.astype(np.int64), first), size) > 1
     least = np.repeat(np.minimum.reduceat(doc, first), size)
     answers = np.empty(len(seed), _ANSWER)
-    answers["seed"], answers["doc"] = seed, least
+    for f in ("seed", "low", "high"):  # the seed alone may name another one, of another bucket
+        answers[f] = e[f]
+    answers["doc"] = least
     told = np.flatnonzero(~different & (least < doc))
     asked = np.flatnonzero(different)
     chunks, n = table["chunk"].to_numpy(), table.num_rows
@@ -324,10 +326,15 @@ def removed(s: Stretches, ids: np.ndarray, size: int, told: np.ndarray, runs: np
     _, number, least = s.different(ids)
     doc = ids[s.doc]
     smaller = least[number]
+    key = lambda seed, mark_: shingles.mixed(seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mark_)
+    own = key(s.seed, s.mark)
     if len(told):
-        told = told[np.argsort(told["seed"])]
-        i = np.minimum(np.searchsorted(told["seed"], s.seed), len(told) - 1)
-        smaller = np.where(told["seed"][i] == s.seed, np.minimum(smaller, told["doc"][i]), smaller)
+        told_key = key(told["seed"], _marks(told))
+        order = np.argsort(told_key)
+        told, told_key = told[order], told_key[order]
+        i = np.minimum(np.searchsorted(told_key, own), len(told) - 1)
+        same = (told["seed"][i] == s.seed) & (_marks(told)[i] == s.mark)
+        smaller = np.where(same, np.minimum(smaller, told["doc"][i]), smaller)
     depth = np.zeros(size + 1, np.int32)
 
     def mark(start: np.ndarray, n: np.ndarray) -> None:
@@ -337,11 +344,9 @@ def removed(s: Stretches, ids: np.ndarray, size: int, told: np.ndarray, runs: np
     hit = smaller < doc
     mark(s.start[hit], s.n[hit])
     if len(runs):
-        key = lambda seed, mark_: shingles.mixed(seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mark_)
         runs_key = key(runs["seed"], _marks(runs))
         order = np.argsort(runs_key, kind="stable")
         runs, runs_key = runs[order], runs_key[order]
-        own = key(s.seed, s.mark)
         first, last = np.searchsorted(runs_key, own, "left"), np.searchsorted(runs_key, own, "right")
         n = last - first
         which = np.repeat(np.arange(len(own)), n)

@@ -136,6 +136,19 @@ def test_repeats_with_small_buckets(docs, monkeypatch):
     assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.digest(docs).collect()} == {i: w[3] for i, w in enumerate(want)}
 
 
+def test_repeats_where_seeds_share_a_name(docs, monkeypatch):
+    class Short(suffix_dedup.Stretches):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.seed = self.seed & np.uint32(0x3F)
+
+    monkeypatch.setattr(suffix_dedup, "Stretches", Short)
+    monkeypatch.setattr(suffix_dedup, "ENTRIES", 20)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 3000)
+    want = removed(texts(), 50)
+    assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.digest(docs).collect()} == {i: w[3] for i, w in enumerate(want)}
+
+
 def test_texts_without_repeats(docs):
     out = suffix_dedup.without_repeats(docs)
     want = removed(texts(), 50)

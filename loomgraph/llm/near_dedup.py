@@ -15,7 +15,8 @@ blocks that yield links only. So a group of thousands of near copies costs some
 neighbours a text, and no text is lost at its edge. At last, in each region that
 is wider than the neighbours reach, all texts of different small components are
 compared, in blocks too: texts that share much but don't link crowd a region
-without being a component.
+without being a component. Crowded components are then met once more, by a join
+over whole regions, wherever these are cut into tasks.
 
 The orders are range-partitioned by region, following values and id, so a
 crowded region spreads over tasks; the rows at the edges of tasks are brought
@@ -333,6 +334,15 @@ def meet_regions(at: DataFrame, near: int, texts: DataFrame, size: int, percent:
     return rows.groupBy("region", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def demanded(at: DataFrame) -> DataFrame:
+    """id, component and crowd: each crowded component that a text shares a region with, isn't in, and isn't in a larger one than."""
+    crowds = at.filter(F.col("crowd") > CROWD).select("region", "component", "crowd").distinct()
+    own = at.select("region", "id", F.col("component").alias("_own"), F.col("crowd").alias("_n"))
+    larger = (F.col("_n") < F.col("crowd")) | ((F.col("_n") == F.col("crowd")) & (F.col("_own") > F.col("component")))
+    met = own.alias("o").join(crowds.alias("c").hint("merge"), (F.col("o.region") == F.col("c.region")) & (F.col("_own") != F.col("component")) & larger)
+    return met.select("id", "component", "crowd").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of docs.
 
@@ -370,7 +380,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             break
         seen, links = seen.unionByName(pairs), links.unionByName(more)
         labels = components(links)
-    more = staged(meet_regions(_known(rows, labels, _sizes(labels)), near, texts, size, percent), "links")
+    # what shares a region and isn't in one component by now: small ones in blocks of the region, the others with the crowded component
+    sizes = _sizes(labels)
+    at = staged(_known(rows, labels, sizes), "regions")
+    demands = demanded(at)
+    if met is not None:
+        demands = demands.join(met, ["id", "component", "crowd"], "left_anti")
+    demands = staged(demands.select("id", "component"), "demands")
+    more = staged(meet_regions(at, near, texts, size, percent).unionByName(meet_crowds(demands, labels, sizes, texts, size, percent)), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     own = sigs.join(classes, name, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))

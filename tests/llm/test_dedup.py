@@ -101,6 +101,12 @@ def test_near_duplicates_in_a_region_crowded_by_texts_that_do_not_link(spark):
     assert [got[i] for i in range(len(rows))] == union_find(len(rows), links)
 
 
+def test_crowded_components_are_demanded_across_tasks(spark):
+    rows = [(7, k, k, 10, 0, 17) for k in range(17)] + [(7, 100 + k, 100 + k, 10, 100 + k, 1) for k in range(400)] + [(8, 0, 600, 10, 600, 1)]
+    at = spark.createDataFrame(rows, "region long, tail long, id long, n long, component long, crowd long").repartition(4)
+    assert {tuple(r) for r in near_dedup.demanded(at).collect()} == {(100 + k, 0, 17) for k in range(400)}
+
+
 def removed(rows, length):
     first = {}
     data = [(t or "").encode() for t in rows]

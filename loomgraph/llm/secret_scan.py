@@ -86,6 +86,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
     # the path of a blob may be null: it holds the blob all the same
     one = unseen.select(F.col("path").alias("_path"), F.col("sha").alias("_sha"), "rules_seen")
     todo = hinted.join(one, (F.col("sha") == F.col("_sha")) & F.col("path").eqNullSafe(F.col("_path")))
+    # rows that repeat a path and its text are one blob, scanned once
+    todo = todo.select("sha", "_text", "rules_seen", "_hints").dropDuplicates(["sha"])
     todo = todo.select("sha", "_text", "rules_seen", F.explode("_hints").alias("_rule"))
     parts = []
     for i, r in enumerate(RULES):

@@ -40,6 +40,15 @@ def test_null_ids_count(docs):
     assert gone[1, len(LONG)] == 0 and gone[2, len(LONG)] == len(LONG) and gone[None, len(LONG) + 38] == len(LONG)
 
 
+def test_repeated_rows_with_secrets(spark):
+    text = "password=abcdefgh1 and token=abcdefgh22 end"
+    for i in (1, None):
+        docs = spark.createDataFrame([(i, text)] * 3, "doc_id long, text string").repartition(3)
+        rows = secret_scan.digest(docs).collect()
+        assert [(r.n_assign, r.spans) for r in rows] == [(2, "assign:0:18,assign:23:39")] * 3
+        assert [r.text for r in secret_scan.redact(docs).collect()] == ["[assign] and [assign] end"] * 3
+
+
 def test_stages_keep_columns(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         for at in (docs, docs.limit(0)):

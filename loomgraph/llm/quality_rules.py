@@ -80,7 +80,7 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """
     own = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     words = own.withColumn("_words", F.expr(f"array_remove(split(_text, '{GAP}'), '')")).withColumn(
-        "_lines", F.expr(r"filter(split(_text, '\\n'), l -> trim(BOTH ' \t\u000b\f\r' FROM l) <> '')")
+        "_lines", F.expr(r"filter(split(_text, '\\n'), l -> trim(BOTH ' \t\u000b\u000c\r' FROM l) <> '')")
     )
     measured = words.select(
         *(F.col(f"`{c}`") for c in keep),

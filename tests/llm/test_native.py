@@ -58,6 +58,12 @@ def test_quality(docs):
         assert not (g.base_failed and g.kept)
 
 
+def test_quality_lines_of_form_feeds_and_of_f(spark):
+    texts = ["\f\n\f\n \f\nword\nother", "f\nf\nf f\nf f\nword"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.n_lines, r.n_dup_lines) for r in quality_rules.ledger(df).orderBy("doc_id").collect()] == [(2, 0), (5, 2)]
+
+
 def test_quality_ledger_is_enough_for_policies(docs, spark):
     led = quality_rules.ledger(docs).cache()
     rows = led.collect()

@@ -8,20 +8,23 @@ with the least hash, the leftmost of equals. Equal windows have equal seeds.
 Consecutive windows with one seed make a stretch, a string of the text.
 
 1. Documents are packed into chunks, in a table bucketed by chunk; later steps
-   read it in place, and only answers move.
-2. Of each chunk, the seed's and the stretch's hash and the least doc_id of
-   each different stretch go to the seed's bucket. A seed whose stretches are
-   all equal is answered with the least doc_id at once: equal stretches have
-   equal windows. Most repetition ends here.
-3. Where a seed has different stretches, these strings move to its bucket. All
-   their suffixes are sorted up to `length` bytes: initial buckets by 8 bytes,
-   then each bucket refined by the bucket identifiers at later offsets (8, 16,
-   18 more bytes), with the identifiers of one level reused by the next. Windows
-   in one final bucket are equal, and each gets the bucket's least doc_id.
+   read it in place, and only seeds, strings of seeds that repeat, and answers
+   move.
+2. Of each chunk the seeds and how many different stretches each has there go
+   to the seed's bucket. A seed with one stretch in one chunk is done: its
+   windows are nowhere else. The others are asked for.
+3. The stretches of these seeds move to the seed's bucket. All their suffixes
+   are sorted up to `length` bytes: initial buckets by 8 bytes, then each bucket
+   refined by the bucket identifiers at later offsets (8, 16, 18 more bytes),
+   with the identifiers of one level reused by the next. Windows in one final
+   bucket are equal, and each gets the bucket's least doc_id.
 4. Each chunk finds its removed bytes from the answers.
 
-A stretch that many documents share is sent once by each chunk, so a hot group
-loads a bucket with as many entries as there are chunks.
+Hashes only bring strings together. What counts as equal is decided by bytes:
+by the sort, and before it, so that a stretch is sent once by each chunk and
+sorted once, by comparing the strings. A seed of very many stretches, a common
+gram in ever new surroundings, is split: its windows go by what else they must
+share, the gram with the bytes before it or with those after it.
 """
 
 from __future__ import annotations
@@ -37,18 +40,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import delete, shared_dir, staged
+from .common import delete, drop_staged, shared_dir, staged, staged_as
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a chunk, of text scanned at once, entries in a bucket, and bytes of strings in a bucket.
 CHUNK, SCAN = 8 << 20, 1 << 20
 ENTRIES, STRINGS = 1_500_000, 1_500_000
+#: A seed with more stretches than this, each counted once a chunk, is split.
+HOT = 5_000
+#: Stretches whose bytes are compared at once.
+COMPARED = 1 << 14
 NO_ID = np.iinfo(np.int64).max
-_FORTY_EIGHT = np.uint64((1 << 48) - 1)
 PACKED = "chunk long, ids binary, sizes binary, body binary"
-_ENTRY = np.dtype([("seed", "<u4"), ("low", "<u4"), ("high", "<u2"), ("doc", "<i8")])
-_ANSWER = np.dtype([("seed", "<u4"), ("low", "<u4"), ("high", "<u2"), ("doc", "<i8")])
-_RUN = np.dtype([("seed", "<u4"), ("low", "<u4"), ("high", "<u2"), ("at", "<u2"), ("n", "<u2"), ("doc", "<i8")])
+#: A seed of a chunk and its different stretches there.
+_SEED = np.dtype([("seed", "<u4"), ("n", "<u2")])
+#: A string: the number of its stretch among the chunk's different ones, its first window there, and the least doc_id in the chunk.
+_ENTRY = np.dtype([("number", "<u4"), ("at", "<u2"), ("doc", "<i8")])
+#: Windows of a stretch that a smaller document holds.
+_RUN = np.dtype([("number", "<u4"), ("at", "<u2"), ("n", "<u2"), ("doc", "<i8")])
+_SIDES = np.random.default_rng(31).integers(1, 1 << 62, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -89,10 +99,10 @@ def unpacked(ids: bytes, sizes: bytes, body: bytes) -> tuple[np.ndarray, np.ndar
 
 
 class Stretches:
-    """Of a chunk: doc (its place), start, n (windows), seed, mark (48 bits that name the string) and bucket hash of each stretch."""
+    """Of a chunk: doc (its place), start, n (windows), seed_hash, place (where the seed starts) and mark (a hash of the string) of each stretch."""
 
     def __init__(self, offsets: np.ndarray, data: np.ndarray, length: int, gram: int):
-        self.length = length
+        self.data, self.length, self.gram = data, length, gram
         parts: list[tuple[np.ndarray, ...]] = []
         i, docs = 0, len(offsets) - 1
         while i < docs:
@@ -106,8 +116,8 @@ class Stretches:
             else:
                 parts.append(self._scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i, int(offsets[i]), length, gram))
             i = j
-        columns = zip(*parts, strict=True) if parts else [[np.zeros(0, np.int64)]] * 3 + [[np.zeros(0, np.uint64)]] * 2
-        self.doc, self.start, self.n, self.seed_hash, self.mark = (np.concatenate(c) for c in columns)
+        columns = zip(*parts, strict=True) if parts else [[np.zeros(0, np.int64)]] * 4 + [[np.zeros(0, np.uint64)]] * 2
+        self.doc, self.start, self.n, self.place, self.seed_hash, self.mark = (np.concatenate(c) for c in columns)
         self.seed = (shingles.mixed(self.seed_hash) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
     @staticmethod
@@ -115,7 +125,7 @@ class Stretches:
         size = len(data)
         none = np.zeros(0, np.int64)
         if size < length:
-            return none, none, none, none.view(np.uint64), none.view(np.uint64)
+            return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
         total = np.zeros(size + 1, np.uint64)
         np.cumsum(shingles._TABLE_BYTES[data] * shingles._power(0, size), out=total[1:])
         back = shingles._power(1, size)
@@ -135,53 +145,70 @@ class Stretches:
         start = np.flatnonzero(new)
         stop = np.flatnonzero(np.append(~valid[1:] | new[1:], True) & valid) + 1
         whole = (total[stop + length - 1] - total[start]) * back[start]
-        mark = shingles.mixed(whole + (stop - start).astype(np.uint64)) & _FORTY_EIGHT
-        return owner[start] + doc, start + at, stop - start, grams[place[start]], mark
+        mark = shingles.mixed(whole + (stop - start).astype(np.uint64))
+        return owner[start] + doc, start + at, stop - start, place[start] + at, grams[place[start]], mark
+
+    def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the strings of two stretches are equal, byte by byte."""
+        same = self.n[a] == self.n[b]
+        for i in range(0, len(a), COMPARED):
+            x = np.flatnonzero(same[i : i + COMPARED]) + i
+            n = self.n[a[x]] + self.length - 1
+            first = np.cumsum(n) - n
+            inside = np.arange(n.sum()) - np.repeat(first, n)
+            equal = self.data[np.repeat(self.start[a[x]], n) + inside] == self.data[np.repeat(self.start[b[x]], n) + inside]
+            if len(x):
+                same[x] = np.logical_and.reduceat(equal, first)
+        return same
 
     def different(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One stretch of each (seed, mark), its number for every stretch, and its least doc_id."""
-        key = np.empty(len(self.seed), [("mark", "<u8"), ("seed", "<u4")])
-        key["mark"], key["seed"] = self.mark, self.seed
-        order = np.lexsort((self.seed, self.mark))
-        sorted_ = key[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.zeros(0, np.int64)
+        """One stretch of each different string, its number for every stretch, and its least doc_id; the same for each scan of a chunk."""
+        order = np.argsort(self.mark, kind="stable")
+        if not len(order):
+            return order, order, order
+        mark = self.mark[order]
+        new = np.concatenate([[True], mark[1:] != mark[:-1]])
+        again = np.flatnonzero(~new)
+        odd = again[~self._same(order[again], order[again - 1])]
+        run = np.cumsum(new)
+        for k in np.unique(run[odd]):  # one hash of several strings
+            at = np.flatnonzero(run == k)
+            own: dict[bytes, int] = {}
+            which = np.array([own.setdefault(self.data[self.start[i] : self.start[i] + self.n[i] + self.length - 1].tobytes(), len(own)) for i in order[at]])
+            by = np.argsort(which, kind="stable")
+            order[at], new[at] = order[at][by], np.diff(which[by], prepend=-1) != 0
+        first = np.flatnonzero(new)
         number = np.empty(len(order), np.int64)
         number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        least = np.minimum.reduceat(ids[self.doc[order]], first) if len(order) else np.zeros(0, np.int64)
-        return order[first], number, least
+        return order[first], number, np.minimum.reduceat(ids[self.doc[order]], first)
 
 
-def _binary_rows(key: np.ndarray, n: int, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the rows of each key from 0 to n - 1, in order; keys without rows are left out."""
-    order = np.argsort(key, kind="stable")
-    edges = np.searchsorted(key[order], np.arange(n + 1))
-    for k in range(n):
-        if edges[k] < edges[k + 1]:
-            yield k, rows[order[edges[k] : edges[k + 1]]]
+def _binary_rows(key: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and its rows, in order."""
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
+        yield from zip(key[order[first]].tolist(), np.split(rows[order], first[1:]), strict=True)
 
 
-def _entries(seed: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    out = np.empty(len(seed), _ENTRY)
-    out["seed"], out["low"], out["high"], out["doc"] = seed, mark & np.uint64(0xFFFFFFFF), mark >> np.uint64(32), doc
-    return out
-
-
-def _marks(x: np.ndarray) -> np.ndarray:
-    return x["low"].astype(np.uint64) | x["high"].astype(np.uint64) << np.uint64(32)
+def _modulo(x: np.ndarray, n: int) -> np.ndarray:
+    return ((x & np.uint64(0xFFFFFFFF)) % np.uint64(n)).astype(np.int64)
 
 
 def seeds(chunks: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """bucket, chunk and the entries of the chunk's different stretches there."""
+    """bucket, chunk and the chunk's seeds there, each with how many different stretches it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, *packed_row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ids, offsets, data = unpacked(*packed_row)
                 s = Stretches(offsets, data, length, gram)
-                one, _, least = s.different(ids)
-                entries = _entries(s.seed[one], s.mark[one], least)
-                bucket = (s.seed_hash[one] & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
-                rows = [(b, chunk, part.tobytes()) for b, part in _binary_rows(bucket, buckets, entries)]
+                one = s.different(ids)[0]
+                bucket = _modulo(s.seed_hash[one], buckets)
+                key, n = np.unique(bucket.astype(np.uint64) << np.uint64(32) | s.seed[one], return_counts=True)
+                entries = np.empty(len(key), _SEED)
+                entries["seed"], entries["n"] = key & np.uint64(0xFFFFFFFF), np.minimum(n, 0xFFFF)
+                rows = [(b, chunk, part.tobytes()) for b, part in _binary_rows((key >> np.uint64(32)).astype(np.int64), entries)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "entries"])
 
@@ -194,33 +221,42 @@ def _unpack(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.nda
     return np.concatenate(parts) if parts else np.zeros(0, kind), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-def meet(key: tuple, table: pa.Table) -> pa.Table:
-    """A bucket of seeds: to each chunk, the least doc_id where it is elsewhere and all stretches are equal, and the seeds with different stretches."""
-    e, row = _unpack(table["entries"], _ENTRY)
-    seed, doc, mark = e["seed"], e["doc"], _marks(e)
-    order = np.lexsort((mark, seed))
-    e, seed, mark, doc, row = e[order], seed[order], mark[order], doc[order], row[order]
-    new_seed = np.concatenate([[True], seed[1:] != seed[:-1]])
-    new_mark = new_seed | np.concatenate([[True], mark[1:] != mark[:-1]])
-    first = np.flatnonzero(new_seed)
-    size = np.diff(np.append(first, len(seed)))
-    different = np.repeat(np.add.reduceat(new_mark.astype(np.int64), first), size) > 1
-    least = np.repeat(np.minimum.reduceat(doc, first), size)
-    answers = np.empty(len(seed), _ANSWER)
-    for f in ("seed", "low", "high"):  # the seed alone may name another one, of another bucket
-        answers[f] = e[f]
-    answers["doc"] = least
-    told = np.flatnonzero(~different & (least < doc))
-    asked = np.flatnonzero(different)
-    chunks, n = table["chunk"].to_numpy(), table.num_rows
-    out = {c: [b"", b""] for c in range(n)}
-    for c, places in _binary_rows(row[told], n, told):
-        out[c][0] = answers[places].tobytes()
-    for c, places in _binary_rows(row[asked], n, asked):
-        out[c][1] = np.unique(seed[places]).tobytes()
-    rows = [(int(chunks[c]), a, b) for c, (a, b) in out.items() if a or b]
-    columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-    return pa.table({"chunk": pa.array(columns[0], pa.int64()), "told": pa.array(columns[1], pa.binary()), "asked": pa.array(columns[2], pa.binary())})
+ASKED = "chunk long, asked binary, hot binary"
+
+
+def meet(most: int):
+    """A bucket of seeds: for each chunk, those that have more than one stretch in all, and those with more than `most`, which are split."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        e, row = _unpack(table["entries"], _SEED)
+        order = np.argsort(e["seed"], kind="stable")
+        seed, n, row = e["seed"][order], e["n"][order].astype(np.int64), row[order]
+        first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
+        size = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(seed))))
+        asked, hot = (np.flatnonzero(size > least) for least in (1, most))
+        split = dict(_binary_rows(row[hot], seed[hot]))
+        rows = [(table["chunk"][r].as_py(), own.tobytes(), split[r].tobytes() if r in split else b"") for r, own in _binary_rows(row[asked], seed[asked])]
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        return pa.table({"chunk": pa.array(columns[0], pa.int64()), "asked": pa.array(columns[1], pa.binary()), "hot": pa.array(columns[2], pa.binary())})
+
+    return run
+
+
+def _halves(s: Stretches, i: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of some stretches: those (as places in i), first windows, numbers of windows and hashes of two parts each.
+
+    The windows that hold `half` bytes before the seed share these with their
+    equals; the others share as many, or one more, after it.
+    """
+    half = (s.length - s.gram + 1) // 2
+    after = s.length - s.gram - half + 1
+    before = np.clip(s.place[i] - half - s.start[i] + 1, 0, s.n[i])
+    out = []
+    for at, n, left, size in ((np.zeros_like(before), before, half, half + s.gram), (before, s.n[i] - before, 0, s.gram + after)):
+        some = np.flatnonzero(n > 0)
+        text = s.data[(s.place[i[some]] - left)[:, None] + np.arange(size)].astype(np.uint64)
+        out.append((some, at[some], n[some], shingles.mixed((text * _SIDES[:size]).sum(1, dtype=np.uint64) + s.seed_hash[i[some]] + np.uint64(left))))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def strings(length: int, gram: int, buckets: int):
@@ -228,21 +264,28 @@ def strings(length: int, gram: int, buckets: int):
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("entries", pa.binary()), ("sizes", pa.binary()), ("body", pa.binary())])
-        asked = np.concatenate([np.frombuffer(x or b"", "<u4") for x in right["asked"].to_pylist()] or [np.zeros(0, "<u4")])
-        if not left.num_rows or not len(asked):
+        if not left.num_rows or not right.num_rows:
             return schema.empty_table()
+        asked, hot = (np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in right[c].to_pylist()])) for c in ("asked", "hot"))
         ids, offsets, data = unpacked(*(left[c][0].as_py() for c in ("ids", "sizes", "body")))
         s = Stretches(offsets, data, length, gram)
         one, _, least = s.different(ids)
         some = np.flatnonzero(np.isin(s.seed[one], asked))
-        one, least = one[some], least[some]
-        entries, size = _entries(s.seed[one], s.mark[one], least), s.n[one] + length - 1
-        bucket = (shingles.mixed(s.seed_hash[one] + np.uint64(7)) & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
+        split = np.isin(s.seed[one[some]], hot)
+        whole, parts = some[~split], some[split]
+        which, at, windows, hashed = _halves(s, one[parts])
+        number = np.concatenate([whole, parts[which]])
+        at = np.concatenate([np.zeros(len(whole), np.int64), at])
+        bucket = _modulo(np.concatenate([shingles.mixed(s.seed_hash[one[whole]] + np.uint64(7)), hashed]), buckets)
+        size = np.concatenate([s.n[one[whole]], windows]) + length - 1
+        entries = np.empty(len(number), _ENTRY)
+        entries["number"], entries["at"], entries["doc"] = number, at, least[number]
+        begin = s.start[one[number]] + at
         rows = []
-        for b, places in _binary_rows(bucket, buckets, np.arange(len(one))):
-            begin, n = s.start[one[places]], size[places]
-            at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            rows.append((b, key[0].as_py(), entries[places].tobytes(), n.astype("<u2").tobytes(), data[at].tobytes()))
+        for b, places in _binary_rows(bucket, np.arange(len(number))):
+            n = size[places]
+            index = np.repeat(begin[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows.append((b, key[0].as_py(), entries[places].tobytes(), n.astype("<u2").tobytes(), data[index].tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -281,78 +324,58 @@ def compare(length: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         e, row = _unpack(table["entries"], _ENTRY)
         sizes = _unpack(table["sizes"], np.dtype("<u2"))[0].astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        data = np.frombuffer(b"".join(table["body"].to_pylist()), np.uint8)
-        # the same string of several chunks is sorted once, with its least doc_id
-        mark = _marks(e)
-        order = np.lexsort((e["doc"], sizes, mark, e["seed"]))
-        a, b = order[1:], order[:-1]
-        new = np.concatenate([[True], (e["seed"][a] != e["seed"][b]) | (mark[a] != mark[b]) | (sizes[a] != sizes[b])])
-        one = order[new]
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        n = sizes[one]
-        shift = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-        at = np.repeat(begin[one] - shift, n) + np.arange(n.sum())
-        owner = np.repeat(np.arange(len(one)), n)
+        raw, end = b"".join(table["body"].to_pylist()), np.cumsum(sizes)
+        # a string that several chunks hold is sorted once, with its least doc_id
+        own: dict[bytes, int] = {}
+        number = np.array([own.setdefault(raw[b - n : b], len(own)) for b, n in zip(end.tolist(), sizes.tolist(), strict=True)], np.int64)
+        doc = np.full(len(own), NO_ID)
+        np.minimum.at(doc, number, e["doc"])
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        shift = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(n)), n)
         left = np.repeat(shift + n, n) - np.arange(n.sum())
-        places, bucket = refined(data[at], left, length)
+        places, bucket = refined(np.frombuffer(b"".join(own), np.uint8), left, length)
         least = np.full(int(bucket.max()) + 1 if len(bucket) else 0, NO_ID)
-        np.minimum.at(least, bucket.astype(np.int64), e["doc"][one][owner[places]])
+        np.minimum.at(least, bucket.astype(np.int64), doc[owner[places]])
         found = least[bucket.astype(np.int64)]
         # windows of a string lie together, in order: their first place and number
         windows = n - length + 1
-        base = np.concatenate([[0], np.cumsum(windows)[:-1]]).astype(np.int64)
+        base = np.cumsum(windows) - windows
         mine = windows[number]
-        index = np.repeat(base[number] - np.concatenate([[0], np.cumsum(mine)[:-1]]), mine) + np.arange(mine.sum())
-        who, offset = np.repeat(np.arange(len(e)), mine), np.arange(mine.sum()) - np.repeat(np.concatenate([[0], np.cumsum(mine)[:-1]]), mine)
-        doc = found[index]
-        hit = np.flatnonzero(doc < e["doc"][who])
-        who, offset, doc = who[hit], offset[hit], doc[hit]
-        start = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (offset[1:] != offset[:-1] + 1) | (doc[1:] != doc[:-1])])) if len(hit) else np.zeros(0, np.int64)
+        offset = np.arange(mine.sum()) - np.repeat(np.cumsum(mine) - mine, mine)
+        index, who = np.repeat(base[number], mine) + offset, np.repeat(np.arange(len(e)), mine)
+        smaller = found[index]
+        hit = np.flatnonzero(smaller < e["doc"][who])
+        who, offset, smaller = who[hit], offset[hit], smaller[hit]
+        start = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (offset[1:] != offset[:-1] + 1) | (smaller[1:] != smaller[:-1])])) if len(hit) else np.zeros(0, np.int64)
         runs = np.empty(len(start), _RUN)
-        for f in ("seed", "low", "high"):
-            runs[f] = e[f][who[start]]
-        runs["at"], runs["n"], runs["doc"] = offset[start], np.diff(np.append(start, len(hit))), doc[start]
-        rows = [(int(table["chunk"][c].as_py()), part.tobytes()) for c, part in _binary_rows(row[who[start]], table.num_rows, runs)]
+        runs["number"], runs["at"] = e["number"][who[start]], e["at"][who[start]] + offset[start]
+        runs["n"], runs["doc"] = np.diff(np.append(start, len(hit))), smaller[start]
+        rows = [(table["chunk"][c].as_py(), part.tobytes()) for c, part in _binary_rows(row[who[start]], runs)]
         columns = list(zip(*rows, strict=True)) if rows else [[], []]
         return pa.table({"chunk": pa.array(columns[0], pa.int64()), "runs": pa.array(columns[1], pa.binary())})
 
     return run
 
 
-def removed(s: Stretches, ids: np.ndarray, size: int, told: np.ndarray, runs: np.ndarray) -> np.ndarray:
+def removed(s: Stretches, ids: np.ndarray, runs: np.ndarray) -> np.ndarray:
     """For each byte of a chunk whether it goes."""
     _, number, least = s.different(ids)
-    doc = ids[s.doc]
-    smaller = least[number]
-    key = lambda seed, mark_: shingles.mixed(seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mark_)
-    own = key(s.seed, s.mark)
-    if len(told):
-        told_key = key(told["seed"], _marks(told))
-        order = np.argsort(told_key)
-        told, told_key = told[order], told_key[order]
-        i = np.minimum(np.searchsorted(told_key, own), len(told) - 1)
-        same = (told["seed"][i] == s.seed) & (_marks(told)[i] == s.mark)
-        smaller = np.where(same, np.minimum(smaller, told["doc"][i]), smaller)
-    depth = np.zeros(size + 1, np.int32)
+    depth = np.zeros(len(s.data) + 1, np.int32)
 
     def mark(start: np.ndarray, n: np.ndarray) -> None:
         np.add.at(depth, start, 1)
         np.add.at(depth, start + n + s.length - 1, -1)
 
-    hit = smaller < doc
+    hit = least[number] < ids[s.doc] if len(number) else np.zeros(0, bool)
     mark(s.start[hit], s.n[hit])
-    if len(runs):
-        runs_key = key(runs["seed"], _marks(runs))
-        order = np.argsort(runs_key, kind="stable")
-        runs, runs_key = runs[order], runs_key[order]
-        first, last = np.searchsorted(runs_key, own, "left"), np.searchsorted(runs_key, own, "right")
+    if len(runs):  # least is the doc_id that was compared; what is smaller is so for each stretch of the number
+        runs = runs[np.argsort(runs["number"], kind="stable")]
+        first, last = (np.searchsorted(runs["number"], number, side) for side in ("left", "right"))
         n = last - first
-        which = np.repeat(np.arange(len(own)), n)
-        r = runs[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        ok = (r["doc"] < doc[which]) & (r["seed"] == s.seed[which])
-        mark(s.start[which[ok]] + r["at"][ok], r["n"][ok].astype(np.int64))
+        which = np.repeat(np.arange(len(number)), n)
+        r = runs[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        mark(s.start[which] + r["at"], r["n"].astype(np.int64))
     return np.cumsum(depth[:-1]) > 0
 
 
@@ -363,8 +386,7 @@ def finish(length: int, gram: int, texts: bool):
         if not left.num_rows:
             return schema.empty_table()
         ids, offsets, data = unpacked(*(left[c][0].as_py() for c in ("ids", "sizes", "body")))
-        told, runs = (_unpack(right[c].drop_null() if right.num_rows else right[c], t)[0] for c, t in (("told", _ANSWER), ("runs", _RUN)))
-        gone = removed(Stretches(offsets, data, length, gram), ids, len(data), told, runs)
+        gone = removed(Stretches(offsets, data, length, gram), ids, _unpack(right["runs"], _RUN)[0])
         edge = np.concatenate([gone, [False]]).astype(np.int64)
         rising = np.flatnonzero(edge[:-1] & ~np.concatenate([[0], edge[:-2]]).astype(bool)) if len(data) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(gone)])
@@ -400,20 +422,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool
     path = f"{shared_dir(spark)}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed(docs).write.bucketBy(n, "chunk").option("path", path).option("compression", "none").saveAsTable(name)
+    asked_at = found_at = None
     try:
         chunks = spark.table(name)
-        answers = staged(seeds(chunks, length, gram, buckets).groupBy("bucket").applyInArrow(meet, "chunk long, told binary, asked binary"), "answers")
-        asked = answers.filter("length(asked) > 0").select("chunk", "asked")
+        asked, asked_at = staged_as(seeds(chunks, length, gram, buckets).groupBy("bucket").applyInArrow(meet(HOT), ASKED), "asked")
         weight = asked.agg(F.sum(F.length("asked"))).first()[0] or 0
         finer = max(1, int(weight / 4 * (length + 20) / STRINGS) + 1)
         shapes = "bucket long, chunk long, entries binary, sizes binary, body binary"
         sent = chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(strings(length, gram, finer), shapes)
-        found = staged(sent.groupBy("bucket").applyInArrow(compare(length), "chunk long, runs binary"), "runs")
-        nothing = F.lit(None).cast("binary")
-        every = answers.select("chunk", "told", nothing.alias("runs")).unionByName(found.select("chunk", nothing.alias("told"), "runs"))
-        out = staged(chunks.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(finish(length, gram, texts), RESULT), "kept")
+        found, found_at = staged_as(sent.groupBy("bucket").applyInArrow(compare(length), "chunk long, runs binary"), "runs")
+        out = staged(chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(finish(length, gram, texts), RESULT), "kept")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for at in (asked_at, found_at):
+            if at:
+                drop_staged(at)
         delete(spark, path)
     return out
 

@@ -142,19 +142,39 @@ def test_repeats_with_small_buckets(docs, monkeypatch):
     assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.digest(docs).collect()} == {i: w[3] for i, w in enumerate(want)}
 
 
-def test_repeats_where_seeds_share_a_name(docs, monkeypatch):
+@pytest.mark.parametrize(("seed_bits", "mark_bits", "hot"), [(6, 64, 5000), (32, 5, 5000), (5, 4, 3), (32, 64, 1)])
+def test_repeats_where_hashes_are_shared_and_seeds_are_split(docs, monkeypatch, seed_bits, mark_bits, hot):
     class Short(suffix_dedup.Stretches):
         def __init__(self, *args):
             super().__init__(*args)
-            self.seed = self.seed & np.uint32(0x3F)
+            self.seed = self.seed & np.uint32((1 << seed_bits) - 1)
+            self.mark = self.mark & np.uint64((1 << mark_bits) - 1)
 
     monkeypatch.setattr(suffix_dedup, "Stretches", Short)
     monkeypatch.setattr(suffix_dedup, "ENTRIES", 20)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 2000)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 3000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     want = removed(texts(), 50)
     assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.digest(docs).collect()} == {i: w[3] for i, w in enumerate(want)}
 
 
+def test_stretches_hold_each_window_once(monkeypatch):
+    random.seed(12)
+    sizes = [0, 49, 50, 51, 400, 3000, 90, 1200]
+    data = np.array(random.choices(b"abcd", k=sum(sizes)), np.uint8)
+    offsets = np.cumsum([0, *sizes])
+    want = [a + i for a, n in zip(offsets, sizes) for i in range(n - 49)]
+    for scan in (300, 1000, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "SCAN", scan)
+        s = suffix_dedup.Stretches(offsets, data, 50, 16)
+        assert sorted(a + i for a, n in zip(s.start, s.n) for i in range(n)) == want
+        assert all(s.start[k] + s.n[k] - 1 <= s.place[k] <= s.start[k] + 34 for k in range(len(s.n)))
+        i = np.arange(len(s.n))
+        which, at, n, _ = suffix_dedup._halves(s, i)
+        assert sorted(s.start[k] + a + j for k, a, m in zip(which, at, n) for j in range(m)) == want
+
+
 def test_texts_without_repeats(docs):
     out = suffix_dedup.without_repeats(docs)
     want = removed(texts(), 50)

@@ -12,16 +12,21 @@ while links are still found, its nearest texts of other components, in growing
 number. A component of more than `CROWD` classes is met as a whole: each text
 that shares a region with it and isn't in it is compared with all its texts, in
 blocks that yield links only. So a group of thousands of near copies costs some
-neighbours a text, and no text is lost at its edge. At last, in each region that
-is wider than the neighbours reach, all texts of different small components are
-compared, in blocks too: texts that share much but don't link crowd a region
-without being a component. Crowded components are then met once more, by a join
-over whole regions, wherever these are cut into tasks.
+neighbours a text, and no text is lost at its edge.
+
+The windows of neighbours are no cap: what they can't reach is compared by an
+exact way. Texts of small components in regions wider than the windows meet
+by a prefix filter: shingles are put in a global order, rare ones first, and
+two texts at the similarity share one of their first few. Texts that share much
+but don't link crowd a region and still meet nobody there, since what they
+share is frequent. Crowded components are met once more, by a join over whole
+regions. So every two texts that share a region are compared, or known to be
+in one component.
 
 The orders are range-partitioned by region, following values and id, so a
 crowded region spreads over tasks; the rows at the edges of tasks are brought
-together once more. Equal sets are one class throughout and are never paired.
-Only texts that share a region move to be verified.
+together once more. Equal sets are one class throughout, with an id of its own,
+and are never paired. Only texts that share a region move to be verified.
 """
 
 from __future__ import annotations
@@ -35,16 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import drop_staged, staged, staged_as
+from .common import staged
 from .components import components
+from .runs import runs
 
 VALUES, ORDERS, DEPTH = 80, 20, 4
 #: Neighbours on either side, by round.
 NEAR = (1, 3, 8)
 #: Classes of a component that is met as a whole, from one more on; and texts of either side in a block.
 CROWD, BLOCK = 16, 128
-#: Texts of either side in a block of a wide region, and shingles counted at once there.
-WIDE, COLUMNS = 256, 4096
+#: Texts that share a rare shingle are paired up to so many; more meet in blocks of WIDE, where COLUMNS shingles are counted at once.
+PAIRED, WIDE, COLUMNS = 32, 256, 4096
+#: Counters that tell rare shingles from frequent ones, and rows of the orders in a task, at most about.
+SLOTS, ROWS = 1 << 18, 1 << 21
 _RANDOM = np.random.default_rng(77)
 _TIMES = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -69,7 +77,7 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, two numbers that name the set, and the signature (null for an empty set)."""
+    """doc_id, key (a hash of the text, which tells the rows of a repeated doc_id apart), n_shingles, two numbers that name the set, and the signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +88,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             some = [s for s in sets if len(s)]
             made = iter(signature(some)) if some else iter(())
             signed = [next(made).tobytes() if k else None for k in n]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(signed, pa.binary())], ["doc_id", "key", "n_shingles", "h1", "h2", "sig"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, h1 long, h2 long, sig binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -105,7 +117,7 @@ def forest(reps: DataFrame) -> DataFrame:
                     tail = tail << np.uint64(16) | turned[:, k]
                 yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(tail.view(np.int64)), pa.array(ids), pa.array(n)], ["region", "tail", "id", "n"])
 
-    return reps.select("doc_id", "n_shingles", "sig").mapInArrow(run, "region long, tail long, id long, n long")
+    return reps.select("id", "n_shingles", "sig").mapInArrow(run, "region long, tail long, id long, n long")
 
 
 def _neighbours(rows: dict[str, np.ndarray], near: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +199,10 @@ def _pairs_of(ordered: DataFrame, near: int, first: bool) -> DataFrame:
     return ordered.mapInArrow(run, f"a long, b long, task long, {_ROW}")
 
 
-def candidates(rows: DataFrame, near: int, first: bool) -> DataFrame:
-    """Distinct (a, b, task) of neighbours in the sorted orders, those across the edges of tasks included; task tells pairs from demands."""
-    ordered = rows.repartitionByRange("region", "tail", "id").sortWithinPartitions("region", "tail", "id")
-    made, made_at = staged_as(_pairs_of(ordered, near, first), "candidates")
+def candidates(rows: DataFrame, near: int, first: bool, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b, task) of neighbours in the sorted orders, those across the edges of tasks included, where task tells pairs from demands; and the regions that more than two tasks hold, whose windows may be broken."""
+    ordered = rows.repartitionByRange(parts, "region", "tail", "id").sortWithinPartitions("region", "tail", "id")
+    made = staged(_pairs_of(ordered, near, first), "candidates")
     inner = made.filter("task < 0").select("a", "b", "task")
     # a seam is the end of one task and the start of the next: a few rows, in a group of their own
     ends = made.filter("task >= 0")
@@ -204,13 +216,13 @@ def candidates(rows: DataFrame, near: int, first: bool) -> DataFrame:
         return pa.table({"a": both[:, 0], "b": both[:, 1], "task": np.repeat(np.array([PAIR, DEMAND]), [len(x) for x in made])})
 
     across = seams.drop("a", "b", "task").groupBy("seam").applyInArrow(join, "a long, b long, task long")
-    return inner.unionByName(across).distinct()
+    torn = ends.groupBy("region").agg(F.count_distinct("task").alias("_tasks")).filter("_tasks > 2").select("region")
+    return inner.unionByName(across).distinct(), torn
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the similarity."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
+    left, right = texts.toDF("a", "_ta"), texts.toDF("b", "_tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -249,7 +261,7 @@ def meet_crowds(demands: DataFrame, labels: DataFrame, sizes: DataFrame, texts:
     shape = asking.join(sizes, "component").select("component", "_parts", F.ceil(F.col("crowd") / BLOCK).alias("_blocks"))
     member = labels.withColumnRenamed("node", "id").join(shape, "component").select("component", F.pmod(F.xxhash64("id"), "_blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), "id", F.lit(True).alias("member"))
     asker = demands.join(shape, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "_parts").alias("part"), "id", F.lit(False).alias("member"))
-    rows = member.unionByName(asker).join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id").select("component", "block", "part", "id", "member", "text")
+    rows = member.unionByName(asker).join(texts.hint("merge"), "id").select("component", "block", "part", "id", "member", "text")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         data, offsets = shingles.bytes_of(t["text"].combine_chunks() if t["text"].num_chunks != 1 else t["text"].chunk(0))
@@ -300,24 +312,74 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def meet_regions(at: DataFrame, near: int, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b), one for each two components that a block links, between small components of regions with more rows than `near` places reach: every two texts compared, in blocks."""
-    small = at.filter(F.col("crowd") <= CROWD).select("region", "id", "component")
-    wide = small.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"))
-    wide = wide.filter((F.col("_n") > near + 1) & (F.col("_low") != F.col("_high"))).select("region", F.ceil(F.col("_n") / WIDE).alias("_blocks"))
-    cut = staged(small.join(wide, "region").withColumn("own", F.pmod(F.xxhash64("id"), "_blocks")), "wide")
+def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """How many first members of a set of n, in any fixed order, hold one of every set at the similarity."""
+    return n + 1 + -percent * n // 100
+
+
+def meet_wide(at: DataFrame, near: int, torn: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the texts of small components in regions with more rows than `near` places reach, or torn ones: pairs (a, b) that share a rare shingle and are to be verified, and links (a, b) of shingles that many share, one for each two components that a block links."""
+    small = F.when(F.col("crowd") <= CROWD, F.col("component"))
+    region = at.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min(small).alias("_low"), F.max(small).alias("_high"))
+    mixed = region.filter("_low <> _high").join(torn.withColumn("_torn", F.lit(True)), "region", "left").filter((F.col("_n") > near + 1) | F.col("_torn"))
+    some = at.filter(F.col("crowd") <= CROWD).join(mixed.select("region"), "region", "left_semi").select("id", "component").distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = shingles.bytes_of(batch.column(1))
+            data, offsets = shingles.bytes_of(batch.column(2))
             sets = [shingles.shingle_set(data[a:b], size).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "component", "shingles"])
 
-    some = texts.withColumnRenamed("doc_id", "id").join(cut.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "text")
-    sets = staged(some.mapInArrow(shingled, "id long, shingles binary"), "sets")
-    spread = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    keyed = spread.select("region", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "id", "component")
-    rows = keyed.join(sets.hint("merge"), "id").select("region", "i", "j", "own", "id", "component", "shingles")
+    sets = staged(some.join(texts.hint("merge"), "id").select("id", "component", "text").mapInArrow(shingled, "id long, component long, shingles binary"), "sets")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(x, np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    # how often each slot's shingles stand: SLOTS numbers, whatever the input
+    counts = np.zeros(SLOTS, np.int64)
+    told = sets.select("shingles").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts[told["slot"].to_numpy(np.int64)] = told["n"].to_numpy(np.int64)
+    shared = at.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, comp, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                often = shared.value[(x % np.uint64(SLOTS)).astype(np.int64)]
+                first = np.lexsort((x, often))[: prefix_length(len(x), percent)]
+                place = np.flatnonzero(often[first] > 1)  # what one text alone holds leads nowhere
+                out.append((x[first[place]].view(np.int64), np.full(len(place), i), np.full(len(place), comp), np.full(len(place), len(x)), place))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["shingle", "id", "component", "n", "place"])
+
+    rows = staged(sets.mapInArrow(prefixes, "shingle long, id long, component long, n long, place long"), "prefixes")
+    met = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_n > 1 and _low <> _high")
+    cut = staged(rows.join(met.select("shingle", "_n"), "shingle"), "shared")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 1):
+            key, ids, comp, n, place = (t.column(k).to_numpy() for k in range(5))
+            for s in range(1, min(PAIRED, len(ids))):
+                i = np.flatnonzero(key[:-s] == key[s:])
+                if not len(i):
+                    break
+                j = i + s
+                least = -(-percent * (n[i] + n[j]) // (100 + percent))  # the overlap that the similarity asks for
+                ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+                a, b = ids[i[ok]], ids[j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    few = cut.filter(F.col("_n") <= PAIRED).drop("_n").repartition("shingle").sortWithinPartitions("shingle")
+    pairs = few.mapInArrow(paired, "a long, b long").distinct()
+    many = cut.filter(F.col("_n") > PAIRED).withColumn("_blocks", F.ceil(F.col("_n") / WIDE)).withColumn("own", F.pmod(F.xxhash64("id"), "_blocks"))
+    spread = many.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    keyed = spread.select("shingle", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "id")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
@@ -331,7 +393,8 @@ def meet_regions(at: DataFrame, near: int, texts: DataFrame, size: int, percent:
         once = np.unique(ends, axis=0, return_index=True)[1] if len(x) else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(ids[x[once]], pa.int64()), "b": pa.array(ids[y[once]], pa.int64())})
 
-    return rows.groupBy("region", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    held = keyed.join(sets.hint("merge"), "id").select("shingle", "i", "j", "own", "id", "component", "shingles")
+    return pairs, held.groupBy("shingle", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def demanded(at: DataFrame) -> DataFrame:
@@ -349,26 +412,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     size: words in a shingle; percent: the least similarity. Null, empty and
     wordless texts have no shingles and are components of their own. Rows that
     repeat a doc_id are each judged by their own text; what either links with,
-    the id links with. Other columns are not read. An empty table gives an
-    empty result.
+    the id links with. A row without a doc_id has the component of its text,
+    null if no row of it has one. Other columns are not read. An empty table
+    gives an empty result.
     """
-    sigs = staged(signatures(docs, size), "signatures")
     name = ["h1", "h2", "n_shingles"]
-    classes = staged(sigs.filter("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sigs.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").filter("sig is not null")
-    rows = staged(forest(reps), "forest")
+    sigs = staged(signatures(docs, size), "signatures")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("of")
+    classes = sigs.filter("n_shingles > 0").groupBy(*name).agg(one, F.first("sig").alias("sig"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), *name, F.col("of.doc_id").alias("doc"), F.col("of.key").alias("key"), "sig"), "classes")
+    own = staged(sigs.select("doc_id", *name).join(classes.select("id", *name), name, "left").select("doc_id", "n_shingles", "id"), "own")
+    rows = staged(forest(classes), "forest")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * ORDERS // ROWS))
     plain = rows.withColumns({"component": F.col("id"), "crowd": F.lit(1).cast("long")})
-    found = staged(candidates(plain, NEAR[0], True), "pairs")
-    pairs = found.select("a", "b")
-    shared = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b"))).distinct()
+    found, torn = candidates(plain, NEAR[0], True, parts)
+    pairs = staged(found.select("a", "b"), "pairs")
+    shared = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
+    chosen = classes.join(shared, "id", "left_semi").select("id", F.coalesce("doc", F.lit(0)).alias("_doc"), "key")
     # merge joins at every size: texts move in proportion to the input, and hot ids can be split
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.hint("merge"), "doc_id", "left_semi"), "texts")
-    links = staged(verify(pairs, texts, size, percent), "links")
+    moved = _keyed(docs).select(F.coalesce("doc_id", F.lit(0)).alias("_doc"), "key", "text").join(chosen.hint("merge"), ["_doc", "key"])
+    texts = staged(moved.groupBy("_doc", "key", "id").agg(F.first("text").alias("text")).select("id", "text"), "texts")
+    links = staged(verify(pairs, texts, size, percent).unionByName(repeated(own)), "links")
     labels = components(links)
     seen, met = pairs, None
     for near in NEAR[1:]:
         sizes = _sizes(labels)
-        found = staged(candidates(_known(rows, labels, sizes), near, False), "pairs")
+        found, torn = candidates(_known(rows, labels, sizes), near, False, parts)
+        found = staged(found, "pairs")
         pairs = found.filter(F.col("task") == PAIR).select("a", "b")
         demands = found.filter(F.col("task") == DEMAND).select(F.col("a").alias("id"), F.col("b").alias("component")).join(sizes, "component")
         if met is not None:  # a component as it was needn't be met again
@@ -376,23 +446,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         met = demands if met is None else met.unionByName(demands)
         more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent)
         more = staged(more.unionByName(meet_crowds(demands.select("id", "component"), labels, sizes, texts, size, percent)), "links")
+        seen = seen.unionByName(pairs)
         if more.isEmpty():
             break
-        seen, links = seen.unionByName(pairs), links.unionByName(more)
+        links = links.unionByName(more)
         labels = components(links)
-    # what shares a region and isn't in one component by now: small ones in blocks of the region, the others with the crowded component
+    # what shares a region and isn't in one component by now: small ones by rare shingles, the others with the crowded component
     sizes = _sizes(labels)
     at = staged(_known(rows, labels, sizes), "regions")
     demands = demanded(at)
     if met is not None:
         demands = demands.join(met, ["id", "component", "crowd"], "left_anti")
     demands = staged(demands.select("id", "component"), "demands")
-    more = staged(meet_regions(at, near, texts, size, percent).unionByName(meet_crowds(demands, labels, sizes, texts, size, percent)), "links")
+    pairs, blocks = meet_wide(at, near, torn, texts, size, percent)
+    more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent).unionByName(blocks)
+    more = staged(more.unionByName(meet_crowds(demands, labels, sizes, texts, size, percent)), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    own = sigs.join(classes, name, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    of = classes.select("id", "doc").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
+    least = of.groupBy("component").agg(F.min("doc").alias("component_id"))
+    out = own.join(of.join(least, "component").select("id", "component_id", F.lit(True).alias("_known")), "id", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def repeated(own: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one doc_id, where its rows have different texts."""
+    some = own.filter("doc_id is not null and id is not null").select("doc_id", "id")
+    several = some.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_last")).filter("a <> _last").select("doc_id", "a")
+    return some.join(several, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -101,6 +101,35 @@ def test_near_duplicates_in_a_region_crowded_by_texts_that_do_not_link(spark):
     assert [got[i] for i in range(len(rows))] == union_find(len(rows), links)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(21)
+    make = lambda: [str(rng.randrange(10**6)) for _ in range(60)]
+    a, b, c = make(), make(), make()
+    near = lambda x, k: " ".join(x[:k] + ["other"] + x[k + 1 :])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(b)), (2, near(a, 3)), (3, near(b, 5)), (4, " ".join(c)), (None, near(c, 0)), (None, near(c, 59)), (None, "alone and without a name")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 4, False), (0, 4, False), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+@pytest.mark.parametrize("paired", [32, 2])
+def test_a_text_meets_others_of_wide_regions_by_rare_shingles(spark, monkeypatch, paired):
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    monkeypatch.setattr(near_dedup, "WIDE", 16)
+    rows = crowd_texts(90, 20, 5) + crowd_texts(60, 0, 6)
+    rows += [rows[0].replace(rows[0].split()[0], "x", 1), rows[-1]]
+    sets = shingle_sets(rows, 4)
+    links = [(j, i) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    texts = spark.createDataFrame(list(enumerate(rows)), "id long, text string").repartition(3)
+    at = spark.createDataFrame([(7, i, i, 1) for i in range(len(rows))], "region long, id long, component long, crowd long")
+    torn = spark.createDataFrame([], "region long")
+    pairs, blocks = near_dedup.meet_wide(at, 3, torn, texts, 4, 80)
+    got = {tuple(r) for r in near_dedup.verify(pairs, texts, 4, 80).collect()} | {(min(r), max(r)) for r in blocks.collect()}
+    assert got == set(links) and pairs.count() < 1000
+    narrow = spark.createDataFrame([(i // 2, i, i, 1) for i in range(len(rows))], "region long, id long, component long, crowd long")
+    assert near_dedup.meet_wide(narrow, 3, torn, texts, 4, 80)[0].isEmpty()
+    assert not near_dedup.meet_wide(narrow, 3, narrow.select("region").distinct(), texts, 4, 80)[0].isEmpty()
+
+
 def test_crowded_components_are_demanded_across_tasks(spark):
     rows = [(7, k, k, 10, 0, 17) for k in range(17)] + [(7, 100 + k, 100 + k, 10, 100 + k, 1) for k in range(400)] + [(8, 0, 600, 10, 600, 1)]
     at = spark.createDataFrame(rows, "region long, tail long, id long, n long, component long, crowd long").repartition(4)

@@ -55,14 +55,17 @@ def license_scan_sql() -> str:
         ws = phrase.split()
         test = " AND ".join(f"words[i + {k}] = '{x}'" for k, x in enumerate(ws))
         places.append(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w) WHERE {test}")
-    fixed = ", ".join(f"('{k}', [{', '.join(repr(x) for x in ws)}], {license_scan.needed(len(ws), license_scan.THRESHOLD)})" for k, ws in license_scan.word_sets(license_scan.TEMPLATES).items())
+    quoted = lambda ws: "[" + ", ".join(f"'{x}'" for x in ws) + "]::VARCHAR[]"
+    fixed = ", ".join(f"({k}, '{t.label}', {quoted(t.words)}, {quoted(t.must)}, {quoted(t.never)}, {license_scan.needed(len(t.words), license_scan.THRESHOLD)}, {t.reach})" for k, t in enumerate(license_scan.TEMPLATES))
     return f"""WITH d AS (SELECT doc_id, {low} AS t FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '{cut}'), lambda x: x <> '') AS words FROM d),
 p AS ({" UNION ALL ".join(places)}),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
-l AS (SELECT doc_id, list_distinct(regexp_split_to_array(unnest(string_split(t, chr(10))), '{cut}')) AS line FROM d),
-f(label, ws, least) AS (VALUES {fixed}),
-h AS (SELECT doc_id, label, len(list_intersect(line, ws)) / len(ws) AS c FROM l JOIN f ON len(list_intersect(line, ws)) >= least),
+f(k, label, ws, must, never, least, reach) AS (VALUES {fixed}),
+x AS (SELECT doc_id, k, label, ws, must, never, least, reach, words FROM w JOIN f ON len(list_intersect(words, ws)) >= least),
+s AS (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM x),
+g AS (SELECT doc_id, label, ws, must, never, least, words[i:i + reach - 1] AS block FROM s WHERE list_contains(ws, words[i])),
+h AS (SELECT doc_id, label, len(list_intersect(block, ws)) / len(ws) AS c FROM g WHERE len(list_intersect(block, ws)) >= least AND len(list_intersect(block, must)) = len(must) AND NOT list_has_any(block, never)),
 q AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM h) GROUP BY doc_id),
 e AS (SELECT doc_id, max(c) AS best FROM h GROUP BY doc_id)
 SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

@@ -6,11 +6,14 @@ neighbours and those whose neighbour it is, compares them with each other and
 keeps each one's nearest. A list full of links is saturated: it might hide
 links to other groups, so it is enlarged by the nearest vectors outside the
 class's component. The rounds end when none finds a link; a fixed number of
-queries is then held against all vectors, and too low a recall starts new
-orders and rounds.
+queries, half of them with links, is then held against all vectors, and too
+low a recall starts new orders and rounds. If it stays low, all vectors of a
+label are compared in blocks.
 
 Links are confirmed in double precision. Within a component, links are counted
-exactly in blocks of vectors, which yields counts and never pairs.
+exactly. Angles to one member bound those between members: vectors near it are
+linked all and counted by their number, those in rings far apart by none, and
+only the rest is multiplied, in blocks that yield counts and never pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged, staged_as
 from .components import components
 from .runs import bounds, runs
 
@@ -33,6 +36,8 @@ K, ORDERS, SIDE, BITS = 8, 12, 8, 30
 MEETING = 256
 BLOCK = 512
 AUDITED, RECALL, TRIES = 500, 0.999, 4
+#: Rings within the angle of a link; a bit more than a whole number, so that rounding changes no ring's place.
+RINGS = 8.001
 #: What single precision may lose; candidates within it are confirmed in double precision.
 MARGIN = 1e-5
 
@@ -222,9 +227,10 @@ def confirmed(edges: DataFrame, classes: DataFrame, threshold: float) -> DataFra
 
 
 def audit(classes: DataFrame, labels: DataFrame, threshold: float) -> float:
-    """The share of the links of AUDITED classes (by a hash of their ids), held against all, whose ends are in one component."""
-    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(AUDITED).select("rep", "space", "unit")
-    asked = chosen.collect()
+    """Of AUDITED classes (by a hash of their ids, half from all and half from those with links), held against all: the mean share of a class's links that lie within a component; 1 where none has links."""
+    linked = classes.join(labels.select(F.col("node").alias("rep")), "rep", "left_semi")
+    of = ("rep", "space", "unit")
+    asked = {r.rep: r for d in (classes, linked) for r in d.select(*of).orderBy(F.xxhash64("rep"), "rep").limit(AUDITED // 2).collect()}.values()
     if not asked:
         return 1.0
     by: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -243,37 +249,92 @@ def audit(classes: DataFrame, labels: DataFrame, threshold: float) -> float:
                 ok = reps[i] != ids[at][j]
                 yield pa.RecordBatch.from_arrays([pa.array(reps[i[ok]]), pa.array(ids[at][j[ok]])], ["a", "b"])
 
-    true = classes.select("rep", "space", "unit").mapInArrow(run, "a long, b long")
+    true = classes.select(*of).mapInArrow(run, "a long, b long")
     both = true.join(labels.toDF("a", "_ca"), "a", "left").join(labels.toDF("b", "_cb"), "b", "left")
-    r = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_ca") == F.col("_cb")).alias("found")).first()
-    return r.found / r.n if r.n else 1.0
+    each = both.groupBy("a").agg(F.avg((F.coalesce("_ca", "a") == F.coalesce("_cb", "b")).cast("double")).alias("share"))
+    return each.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
 
 
-def counted(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """rep and its links to vectors of other classes, from blocks of its component."""
-    members = classes.select("rep", "copies", "unit").join(labels.toDF("rep", "component"), "rep")
-    sizes = labels.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
-    cut = members.join(sizes, "component").withColumn("_own", F.pmod(F.xxhash64("rep"), "_blocks"))
-    spread = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    keyed = spread.select("component", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "rep", "copies", "unit")
-    ready = keyed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "_own")
+def ringed(members: DataFrame, threshold: float) -> DataFrame:
+    """members (key, rep, unit, …) with ring: how many times an eighth of a link's angle it lies from the key's least rep."""
+    theta = float(np.arccos(threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cos = np.array([float(np.frombuffer(x) @ np.frombuffer(y)) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((np.arccos(np.clip(cos, -1, 1)) * RINGS / theta).astype(np.int64))], ["rep", "ring"])
+
+    first = members.groupBy("key").agg(F.min("rep").alias("rep")).join(members.select("rep", F.col("unit").alias("_lead")), "rep").select("key", "_lead")
+    rings = members.join(first, "key").select("rep", "unit", "_lead").mapInArrow(run, "rep long, ring long")
+    return members.join(rings, "rep")
+
+
+def celled(members: DataFrame) -> DataFrame:
+    """key, i, j, own, rep, component, copies, unit: each member in the cells that hold all pairs that rings leave open. i and j are (ring, part) of a cell's two sides, each of about BLOCK members."""
+    most, sure = int(RINGS) + 1, int(RINGS) - 2
+    shape = members.groupBy("key", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    cut = members.join(shape, ["key", "ring"]).withColumn("own", F.struct("ring", F.pmod(F.xxhash64("rep"), "_parts").alias("part"))).drop("_parts")
+    other = shape.toDF("key", "_ring", "_parts")
+    met = cut.withColumn("_ring", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ring") - most), F.col("ring") + most))).join(other, ["key", "_ring"])
+    open_ = met.filter(F.col("ring") + F.col("_ring") > sure).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    open_ = open_.withColumn("_other", F.struct(F.col("_ring").alias("ring"), F.col("_part").alias("part")))
+    return open_.select("key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "rep", "component", "copies", "unit")
+
+
+def _cells(ready: DataFrame, threshold: float, links: bool) -> DataFrame:
+    """Of cells, rep and n, how many vectors of the other side (of its own, where there is one) it links with; or links (a, b) between components, one for each two that a cell links."""
+    flat = ready.select("key", *(F.col(f"{c}.{k}").alias(f"{c}_{k}") for c in ("i", "j") for k in ("ring", "part")), (F.col("own") == F.col("i")).alias("first"), "rep", "component", "copies", "unit")
+    keys = flat.columns[:5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, 3):
-            at = bounds(table, 3)
-            i, j, own, ids, copies = (table[k].to_numpy() for k in ("i", "j", "_own", "rep", "copies"))
+        for table in runs(batches, 5):
+            at = bounds(table, 5)
+            ir, ip, jr, jp = (table[k].to_numpy() for k in keys[1:])
+            ids, comp, copies, first = (table[k].to_numpy() for k in ("rep", "component", "copies", "first"))
             units = table["unit"].to_pylist()
-            n = np.zeros(len(ids), np.int64)
             for s, e in zip(at[:-1], at[1:], strict=True):
+                alone = ir[s] == jr[s] and ip[s] == jp[s]
                 x = matrix(units[s:e], np.float64)
-                linked = x @ x.T >= threshold
-                if i[s] != j[s]:
-                    linked &= own[s:e, None] != own[None, s:e]
-                np.fill_diagonal(linked, False)
-                n[s:e] = linked @ copies[s:e]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["rep", "n"])
+                left = np.arange(e - s) if alone else np.flatnonzero(first[s:e])
+                right = left if alone else np.flatnonzero(~first[s:e])
+                linked = x[left] @ x[right].T >= threshold
+                if alone:
+                    np.fill_diagonal(linked, False)
+                if links:
+                    i, j = np.nonzero(linked)
+                    a, b = s + left[i], s + right[j]
+                    ends = np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], 1)
+                    apart = np.flatnonzero(ends[:, 0] != ends[:, 1])
+                    once = apart[np.unique(ends[apart], axis=0, return_index=True)[1]] if len(apart) else apart
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a[once]]), pa.array(ids[b[once]])], ["a", "b"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[s + left]), pa.array(linked @ copies[s + right])], ["a", "b"])
+                    if not alone:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[s + right]), pa.array(linked.T @ copies[s + left])], ["a", "b"])
+
+    return flat.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
 
-    return ready.mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+def counted(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """rep and its links to vectors of other classes."""
+    own = classes.select("rep", "copies", "unit").join(labels.toDF("rep", "component"), "rep").withColumn("key", F.col("component"))
+    members = staged(ringed(own, threshold), "rings")
+    sure = int(RINGS) - 2
+    held = members.filter(F.col("ring") <= sure).groupBy("key", "ring").agg(F.sum("copies").alias("_n"))
+    sums = held.toDF("key", "_ring", "_n").join(held.select("key", "ring"), "key").filter(F.col("ring") + F.col("_ring") <= sure).groupBy("key", "ring").agg(F.sum("_n").alias("_n"))
+    near = members.join(sums, ["key", "ring"]).select("rep", (F.col("_n") - F.when(F.col("ring") * 2 <= sure, F.col("copies")).otherwise(0)).alias("n"))
+    rest = _cells(celled(members), threshold, False).toDF("rep", "n")
+    return near.unionByName(rest).groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def compared(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all components that should be one: every two vectors of a space compared, but for rings too far apart. The last resort."""
+    own = classes.select("rep", "copies", "unit", F.col("space").alias("key")).join(labels.toDF("rep", "component"), "rep", "left")
+    members = staged(ringed(own.withColumn("component", F.coalesce("component", "rep")), threshold), "rings")
+    # within a key's near rings all are linked: with its least rep
+    near = members.groupBy("key").agg(F.min("rep").alias("a")).join(members.filter(F.col("ring") <= int(RINGS) - 2), "key").filter("a <> rep").select("a", F.col("rep").alias("b"))
+    return near.unionByName(_cells(celled(members), threshold, True)).distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -282,17 +343,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Vectors link with those of the same label and length. Null, empty and zero
     vectors, those with null or non-finite components, and those without a
     label link with nothing. Rows that repeat a vec_id count as vectors of
-    their own. Other columns are not read.
+    their own. A row without a vec_id has the component of its links, null if
+    no vector there has one. Other columns are not read.
     """
     own = staged(prepared(vectors), "vectors")
     usable = own.filter("space is not null")
-    grouped = usable.groupBy("space", "name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    first = usable.select("space", "name", F.col("vec_id").alias("rep"), "unit", "small").dropDuplicates(["space", "name", "rep"])
-    classes = staged(grouped.join(first, ["space", "name", "rep"]), "classes")
+    grouped = usable.groupBy("space", "name").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("small").alias("small"))
+    classes = staged(grouped.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
     edges = labels = None
     for attempt in range(TRIES):
         new = orders(classes, attempt).withColumn("old", F.lit(False))
-        edges = staged(nearest(new if edges is None else edges.unionByName(new), labels), "lists")
+        edges, edges_at = staged_as(nearest(new if edges is None else edges.unionByName(new), labels), "lists")
         before = -1
         while True:
             links = staged(confirmed(edges, classes, threshold), "links")
@@ -302,11 +363,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 break
             before = joined
             made = refine(edges, classes).withColumn("old", F.lit(False))
-            edges = staged(nearest(edges.withColumn("old", F.lit(True)).unionByName(made), labels), "lists")
+            last_at = edges_at
+            edges, edges_at = staged_as(nearest(edges.withColumn("old", F.lit(True)).unionByName(made), labels), "lists")
+            drop_staged(last_at)
         if audit(classes, labels, threshold) >= RECALL:
             break
+    else:
+        labels = components(staged(links.unionByName(compared(classes, labels, threshold)), "links"))
     n = staged(counted(classes, labels, threshold), "counts")
-    known = classes.select("space", "name", "rep", "copies").join(labels.toDF("rep", "component"), "rep", "left").join(n, "rep", "left")
-    known = known.select("space", "name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = own.select("vec_id", "space", "name").join(known, ["space", "name"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    known = classes.select("space", "name", "rep", "least", "copies").join(labels.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = staged(known.join(n, "rep", "left").select("space", "name", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("space", "name", "n_links", "component_id", F.lit(True).alias("_known"))
+    out = own.select("vec_id", "space", "name").join(named, ["space", "name"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -269,6 +269,27 @@ def test_vectors(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_vectors_by_blocks_where_the_search_fails(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    chain = [[float(np.cos(k / 9)), float(np.sin(k / 9)), 0.0] for k in range(50)]  # each links with the next only
+    crowd = [(np.array([0.0, 0.0, 1.0]) + rng.standard_normal(3) * 0.03).tolist() for _ in range(60)]
+    rows = [(1000 - i, x, "a" if i % 7 else "b") for i, x in enumerate([*chain, *crowd, *rng.standard_normal((200, 3)).tolist()])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x, _ in rows}
+    links = [(i, j) for i, _, a in rows for j, _, b in rows if a == b and i < j and unit[i] @ unit[j] >= 0.98]
+    want = union_find(1001, links)
+    classes = spark.createDataFrame([(i, lab, 1, unit[i].tobytes()) for i, _, lab in rows], "rep long, space string, copies long, unit binary")
+    none = spark.createDataFrame([], "node long, component long")
+    labels = components.components(vector_dedup.compared(classes, none, 0.98))
+    got = {r.node: r.component for r in labels.collect()}
+    assert {i: got.get(i, i) for i in unit} == {i: want[i] for i in unit}
+    n = {r.rep: r.n for r in vector_dedup.counted(classes, labels, 0.98).collect()}
+    assert {i: n.get(i, 0) for i in unit} == {i: sum(i in x for x in links) for i in unit}
+    assert vector_dedup.audit(classes, labels, 0.98) == 1.0
+    assert vector_dedup.audit(classes, none, 0.98) == 0.0
+
+
 def test_vectors_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_dedup.near_duplicates(none).count() == 0

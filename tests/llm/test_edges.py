@@ -64,3 +64,5 @@ def test_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links long")
     out = vector_dedup.near_duplicates(df).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in out) == [(0, 0, 0), (0, 3, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1)]
+    nameless = spark.createDataFrame([(None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (None, [1.0, 0.001], 1), (7, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.n_links, r.component_id or 0, r.kept) for r in vector_dedup.near_duplicates(nameless).collect()) == [(0, 7, True), (2, 0, True), (2, 0, True), (2, 0, True)]

@@ -1,7 +1,9 @@
 """python -m loomgraph -b ALGORITHM -g GRAPH.ini [-o FOLDER]: an algorithm over a described binary edge list.
 
 Prints the summary rows and the seconds; -o writes the vertices' (or edges')
-rows as Parquet. Paths are those of Spark's file systems.
+rows as Parquet. --filename appends a line with the seconds of setting up and
+of everything, with a comma between, to a local file. Paths are those of
+Spark's file systems.
 """
 
 from __future__ import annotations
@@ -104,6 +106,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-g", "--graph", required=True, help="path or URI of the descriptor")
     p.add_argument("-o", "--output", help="where rows are written")
     p.add_argument("--wide", action="store_true", help="8-byte ids and weights")
+    p.add_argument("--compressed", action="store_true", help="the edge list is made of zlib streams")
+    p.add_argument("--filename", help="a local file that gets a line of timings")
     p.add_argument("--root", type=int, default=0)
     p.add_argument("--source", type=int, default=0)
     p.add_argument("--niters", type=int, default=5)
@@ -120,17 +124,23 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     o = parser().parse_args(args)
-    spark = spark or SparkSession.builder.appName("loomgraph").getOrCreate()
     began = time.perf_counter()
+    spark = spark or SparkSession.builder.appName("loomgraph").getOrCreate()
     path = o.graph if "://" in o.graph else f"file://{o.graph}"
-    out, summary = ALGORITHMS[o.benchmark](read_graph(spark, path, o.wide), o)
+    graph = read_graph(spark, path, o.wide, o.compressed)
+    setup = time.perf_counter() - began
+    out, summary = ALGORITHMS[o.benchmark](graph, o)
     if o.output and (o.benchmark != "reverse" or o.parquet):
         out.write.parquet(o.output)
     else:
         out.write.format("noop").mode("overwrite").save()
     for row in summary.collect() if summary is not None else ():
         print(o.benchmark, *(f"{k}={v}" for k, v in row.asDict().items()))
-    print(f"{o.benchmark} seconds={time.perf_counter() - began:.3f}")
+    wall = time.perf_counter() - began
+    print(f"{o.benchmark} seconds={wall:.3f}")
+    if o.filename:
+        with open(o.filename, "a") as f:
+            f.write(f"{setup:.6f},{wall:.6f}\n")
     return out
 
 

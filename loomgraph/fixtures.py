@@ -50,12 +50,6 @@ def ratings(spark: SparkSession, d: str) -> Graph:
     return from_edges(mean.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + parts).alias("dst"), "weight"), parts + suppliers).both_ways()
 
 
-def bulk_trade(spark: SparkSession, d: str) -> Graph:
-    lines, parts, suppliers = _trade(spark, d)
-    few = lines.filter("l_quantity >= 49 and l_linenumber = 1").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + parts).alias("dst")).distinct()
-    return from_edges(few, parts + suppliers).both_ways()
-
-
 def likelihoods(graph: Graph) -> Graph:
     """Weights between 0.1 and 0.9 by the ends, for belief propagation."""
     w = 0.1 + 0.8 * (F.pmod(F.col("src") * 31 + F.col("dst") * 17, F.lit(97)) / 97.0)

@@ -39,26 +39,26 @@ def mcst(graph: Graph) -> DataFrame:
     unique. Each round every component takes its least edge out; components
     that chose each other root the merger, and labels jump to their root.
     """
-    edges = cut(graph.pairs().select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")))
+    edges = by(graph.pairs().select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")), "a")
     forest = None
     while not edges.isEmpty():
         key = F.struct("weight", "src", "dst")
         ends = edges.select(F.col("a").alias("c"), F.col("b").alias("other"), key.alias("e")).unionByName(edges.select(F.col("b").alias("c"), F.col("a").alias("other"), key.alias("e")))
         best = cut(ends.groupBy("c").agg(F.min(F.struct("e", "other")).alias("m")).select("c", "m.e", "m.other"))
-        chosen = best.select("e.src", "e.dst", "e.weight").distinct()
-        forest = cut(chosen if forest is None else forest.unionByName(chosen))
+        chosen = cut(best.select("e.src", "e.dst", "e.weight").distinct())
+        forest = chosen if forest is None else forest.unionByName(chosen)
         back = best.select(F.col("c").alias("other"), F.col("other").alias("_back"))
         root = best.join(back, "other").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("other")), F.col("c")).otherwise(F.col("other")).alias("root"))
-        root = cut(root)
+        root = by(root, "c")
         while True:
             up = root.select(F.col("c").alias("root"), F.col("root").alias("_up"))
-            moved = cut(root.join(up, "root").select("c", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")))
+            moved = by(root.join(up, "root").select("c", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")), "c")
             root = moved.drop("_moved")
             if moved.filter("_moved").isEmpty():
                 break
         a, b = root.toDF("a", "_ra"), root.toDF("b", "_rb")
         joined = edges.join(a, "a").join(b, "b").filter("_ra <> _rb")
-        edges = cut(joined.select("src", "dst", "weight", F.col("_ra").alias("a"), F.col("_rb").alias("b")))
+        edges = by(joined.select("src", "dst", "weight", F.col("_ra").alias("a"), F.col("_rb").alias("b")), "a")
     return forest if forest is not None else graph.spark.createDataFrame([], "src long, dst long, weight double")
 
 
@@ -89,18 +89,29 @@ def triangles_total(counts: DataFrame) -> DataFrame:
     return counts.agg((F.sum("triangles") / 3).alias("triangles"))
 
 
-def triangles_minhash(graph: Graph, niters: int = 100, seed: int = 0xDEADBEEF) -> DataFrame:
+def triangles_minhash(graph: Graph, niters: int = 100, seed: int = 0xDEADBEEF, block: int = 25) -> DataFrame:
     """vertex and an estimate of the triangles through it, from the minima of niters hashes over neighbourhoods.
 
-    All trials run in one plan: niters minima a vertex, combined before the
-    shuffle. Null where niters is 0.
+    Trials run in blocks of `block`: so many minima a vertex, combined before
+    the shuffle, so that what an edge carries has a bound. Null where niters
+    is 0.
     """
-    e = cut(graph.simple().edges.select("src", "dst"))
+    e = by(graph.simple().edges.select("src", "dst"), "src")
     degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    minima = [F.min(F.xxhash64(F.lit(seed + t), F.lit(t), F.col("dst"))).alias(f"m{t}") for t in range(niters)]
-    sketch = e.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), *minima).select("src", F.array(*(f"m{t}" for t in range(niters))).cast("array<bigint>").alias("sketch"))
-    both = e.join(sketch.toDF("src", "_s"), "src").join(sketch.toDF("dst", "_t"), "dst").join(degree.toDF("src", "_ds"), "src").join(degree.toDF("dst", "_dd"), "dst")
-    z = F.size(F.filter(F.zip_with("_s", "_t", lambda x, y: x == y), lambda x: x))
-    shared = F.try_divide(z, z + F.lit(niters)) * (F.col("_ds") + F.col("_dd"))
-    own = both.groupBy(F.col("src").alias("vertex")).agg((F.sum(shared) / 2).alias("triangles"))
-    return graph.vertices.withColumnRenamed("id", "vertex").join(own, "vertex", "left").select("vertex", F.coalesce("triangles", F.lit(0.0) if niters else F.lit(None)).alias("triangles"))
+    equal = None
+    for first in range(0, niters, block):
+        trials = range(first, min(first + block, niters))
+        minima = [F.min(F.xxhash64(F.lit(seed + t), F.lit(t), F.col("dst"))).alias(f"m{t}") for t in trials]
+        sketch = e.groupBy("src").agg(*minima).select("src", F.array(*(f"m{t}" for t in trials)).alias("sketch"))
+        both = e.filter("src < dst").join(sketch.toDF("src", "_s"), "src").join(sketch.toDF("dst", "_t"), "dst")
+        same = both.select("src", "dst", F.size(F.filter(F.zip_with("_s", "_t", lambda x, y: x == y), lambda x: x)).alias("z")).filter("z > 0")
+        equal = same if equal is None else equal.unionByName(same)
+    vertices = graph.vertices.withColumnRenamed("id", "vertex")
+    if equal is None:
+        return vertices.withColumn("triangles", F.lit(None).cast("double"))
+    z = equal.groupBy("src", "dst").agg(F.sum("z").alias("z"))
+    each = z.join(degree.toDF("src", "_ds"), "src").join(degree.toDF("dst", "_dd"), "dst")
+    shared = F.try_divide(F.col("z"), F.col("z") + F.lit(niters)) * (F.col("_ds") + F.col("_dd"))
+    ends = each.select(F.explode(F.array("src", "dst")).alias("vertex"), shared.alias("_shared"))
+    own = ends.groupBy("vertex").agg((F.sum("_shared") / 2).alias("triangles"))
+    return vertices.join(own, "vertex", "left").select("vertex", F.coalesce("triangles", F.lit(0.0)).alias("triangles"))

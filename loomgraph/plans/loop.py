@@ -3,7 +3,9 @@
 A loop's state is checkpointed each round, to the folder in
 spark.checkpoint.dir, so plans don't grow and a lost executor costs a read.
 checkpoint() keeps the partitioning, so state that is joined by id stays put
-and only messages move.
+and only messages move. It also keeps what Spark knows of the order and of
+equal columns, which grows with each self-join of a state: such loops deal
+their state out anew (`by`), which leaves one key.
 """
 
 from __future__ import annotations
@@ -17,11 +19,21 @@ class NotConverged(RuntimeError):
     """A loop reached its last permitted round with work left."""
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where it is unset and all run on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the session's folder; sets a temporary one only where none is set."""
+    """Keeps the session's folder; sets the shared one where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +12,9 @@ from . import fixtures
 from .gen import graphs
 from .graph import Graph
 from .operators import balls, belief, centrality, components, factors, rank, scan, sets, traversal
+from .plans.loop import shared_dir
 from .plans.program import VertexProgram, run
+from .sources import binary, text
 from .streaming import feeder, online_cc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,16 +29,77 @@ def _both(graph: Graph) -> Graph:
 
 
 def _cc_online(spark: SparkSession, d: str) -> DataFrame:
-    """The edges of bulk_trade as a stream of four files, then the labels."""
-    g = fixtures.bulk_trade(spark, d)
-    home = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    at = f"{home.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """The ratings' edges as a stream of four files, then the labels."""
+    g = fixtures.ratings(spark, d)
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     feeder.feed(g.edges, f"{at}/edges")
     query = online_cc.online_cc(feeder.stream(spark, f"{at}/edges"), f"{at}/labels", g.num_vertices).trigger(availableNow=True).start()
     query.awaitTermination()
     return online_cc.labels(spark, f"{at}/labels", g.num_vertices)
 
 
+def _written(spark: SparkSession, d: str, kind: int, compressed: bool = False) -> DataFrame:
+    """The flow of users, written as a binary edge list with its descriptor, and read back."""
+    ini = binary.write_graph(fixtures.user_flow(spark, d), f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}", "flow", kind, compressed=compressed)
+    return binary.read_graph(spark, ini, compressed=compressed).edges
+
+
+def _matrix_market(spark: SparkSession, d: str) -> DataFrame:
+    g, at = fixtures.user_flow(spark, d), f"{shared_dir(spark)}/market-{uuid.uuid4().hex}"
+    text.write_matrix_market(g.edges, g.num_vertices, g.num_vertices, at)
+    return text.matrix_market(spark, at, weighted=True)[0]
+
+
+def _pegasus(spark: SparkSession, d: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/pegasus-{uuid.uuid4().hex}"
+    text.write_pegasus(fixtures.user_flow(spark, d).edges, at)
+    return text.snap(spark, at, both_ways=False).select("src", "dst")
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    """What each generator promises, a row for each."""
+    n, v = 1 << 14, 1 << 10
+    lower = lambda c, m: F.avg((F.col(c) < m).cast("double"))
+    # name, graph, whether loops may be, ids of either end, and a share with its expected value
+    made = [
+        ("rmat", graphs.rmat(spark, 10, n), (0, v), (0, v), F.avg(((F.col("src") < v / 2) & (F.col("dst") < v / 2)).cast("double")), 0.57),
+        ("erdos_renyi", graphs.erdos_renyi(spark, v, n), (0, v), (0, v), lower("dst", v / 4), 0.25),
+        ("bipartite", graphs.bipartite(spark, 600, 400, n), (0, 600), (600, 1000), lower("dst", 700), 0.25),
+    ]
+    rows = []
+    for name, g, left, right, share, expected in made:
+        inside = F.min(F.col("src").between(left[0], left[1] - 1) & F.col("dst").between(right[0], right[1] - 1))
+        drawn = F.min(F.col("weight").between(0, 1) & (F.col("weight") < 1))
+        rows.append(g.edges.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("edges"), inside.alias("ids_inside"), drawn.alias("weights_inside"), (F.count_if(F.col("src") == F.col("dst")) == 0).alias("no_loops"), (F.abs(share - expected) < 0.02).alias("share_as_expected")))
+    out = rows[0].withColumn("no_loops", F.lit(True))  # R-MAT promises nothing about loops
+    return out.unionByName(rows[1]).unionByName(rows[2])
+
+
+def _symmetric(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a symmetric R-MAT graph whose reverse, with its weight, isn't there: none; and how many edges there are."""
+    e = graphs.rmat(spark, 10, 1 << 14, symmetric=True).edges.groupBy("src", "dst", "weight").agg(F.count(F.lit(1)).alias("n"))
+    back = e.toDF("dst", "src", "weight", "_n")
+    met = e.join(back, ["src", "dst", "weight"], "left")
+    return met.agg(F.sum("n").alias("edges"), F.count_if(~F.col("n").eqNullSafe(F.col("_n"))).alias("without_reverse"))
+
+
+def _estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sketches' estimates lie near the exact counts: the neighbourhood function's within a fifth at each hop (six standard errors of a sum), the triangles' within a half, and ALS's error below that of the mean rating."""
+    buy, flow = fixtures.purchase_flow(spark, d), fixtures.user_flow(spark, d)
+    exact = balls.hyperanf_exact(buy, run_to_completion=True).select("t", "n")
+    sketch = balls.hyperanf(buy, run_to_completion=True).select("t", F.col("n").alias("_n"))
+    near = exact.join(sketch, "t").agg(F.min(F.abs(F.col("_n") / F.col("n") - 1) < 0.2).alias("within"))
+    counted = sets.triangles_total(sets.triangles(flow)).crossJoin(sets.triangles_total(sets.triangles_minhash(flow)).toDF("_n"))
+    rated = fixtures.ratings(spark, d)
+    mean = rated.edges.filter("src < dst").agg(F.stddev_pop("weight").alias("spread"))
+    fitted = factors.als_rmse(rated, factors.als(rated)).crossJoin(mean)
+    return (
+        near.select(F.lit("hyperanf").alias("name"), "within")
+        .unionByName(counted.select(F.lit("triangles").alias("name"), (F.abs(F.col("_n") / F.col("triangles") - 1) < 0.5).alias("within")))
+        .unionByName(fitted.select(F.lit("als").alias("name"), (F.col("rmse") < F.col("spread")).alias("within")))
+    )
+
+
 def _program_bfs(spark: SparkSession, d: str) -> DataFrame:
     """Levels from vertex 0 by a vertex program."""
     none = F.lit(None).cast("long")
@@ -68,7 +130,7 @@ def _program_pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scalar_cc(spark: SparkSession, d: str) -> DataFrame:
-    return components.cc_count(components.cc(fixtures.bulk_trade(spark, d)))
+    return components.cc_count(components.cc(fixtures.ratings(spark, d)))
 
 
 def _mcst_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +139,7 @@ def _mcst_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    buy, flow, trade, rate = fixtures.purchase_flow, fixtures.user_flow, fixtures.bulk_trade, fixtures.ratings
+    buy, flow, rate = fixtures.purchase_flow, fixtures.user_flow, fixtures.ratings
     beliefs = lambda s, d: fixtures.likelihoods(buy(s, d))
     return {
         "degree_cnt": lambda s, d: scan.degree_cnt(flow(s, d)),
@@ -92,10 +154,11 @@ def queries() -> dict[str, Query]:
         "bfs": lambda s, d: traversal.bfs(buy(s, d)),
         "bfs_async": lambda s, d: traversal.bfs(buy(s, d)),
         "bfs_counters": lambda s, d: traversal.bfs_counters(g := buy(s, d), traversal.bfs(g)),
-        "bfs_forest": lambda s, d: traversal.bfs_forest(buy(s, d)).select("vertex", "component"),
+        "bfs_forest": lambda s, d: traversal.bfs_forest(buy(s, d)),
         "sssp": lambda s, d: rounded(traversal.sssp(buy(s, d)), "distance", places=4),
-        "sssp_forest": lambda s, d: rounded(traversal.sssp_forest(buy(s, d)).drop("predecessor"), "distance", places=4),
-        "cc": lambda s, d: components.cc(trade(s, d)),
+        "sssp_forest": lambda s, d: rounded(traversal.sssp_forest(buy(s, d)), "distance", places=4),
+        "cc": lambda s, d: components.cc(rate(s, d)),
+        "cc_flow": lambda s, d: components.cc(buy(s, d), symmetrize=True),
         "cc_count": _scalar_cc,
         "cc_online": _cc_online,
         "scc": lambda s, d: components.scc(buy(s, d)),
@@ -106,27 +169,31 @@ def queries() -> dict[str, Query]:
         "triangles": lambda s, d: sets.triangles(flow(s, d)),
         "triangles_total": lambda s, d: sets.triangles_total(sets.triangles(flow(s, d))).select(F.col("triangles").cast("long")),
         "triangles_minhash": lambda s, d: sets.triangles_total(sets.triangles_minhash(flow(s, d))),
-        "hyperanf": lambda s, d: balls.hyperanf_exact(buy(s, d), 5, run_to_completion=True).select("t", "n"),
-        "hyperanf_sketch": lambda s, d: balls.hyperanf(buy(s, d), 5).select("t", "n"),
+        "hyperanf": lambda s, d: balls.hyperanf_exact(buy(s, d), run_to_completion=True).select("t", "n"),
+        "hyperanf_sketch": lambda s, d: balls.hyperanf(buy(s, d), run_to_completion=True).select("t", "n"),
         "bc": lambda s, d: rounded(centrality.bc(buy(s, d)), "centrality", places=4),
         "bc_best": lambda s, d: rounded(centrality.bc_best(centrality.bc(buy(s, d))), "centrality", places=4),
-        "belief_propagation": lambda s, d: rounded(belief.belief_propagation(beliefs(s, d), 2), "b0", "b1"),
-        "belief_propagation_graphchi": lambda s, d: rounded(belief.belief_propagation_graphchi(buy(s, d), 4), "belief0"),
-        "als": lambda s, d: factors.als_rmse(g := trade_ratings(s, d), factors.als(g)),
-        "als_async": lambda s, d: factors.als(trade_ratings(s, d)),
+        "belief_propagation": lambda s, d: rounded(belief.belief_propagation(beliefs(s, d)), "b0", "b1"),
+        "belief_propagation_graphchi": lambda s, d: rounded(belief.belief_propagation_graphchi(buy(s, d)), "belief0"),
+        "als": lambda s, d: factors.als_rmse(g := rate(s, d), factors.als(g)),
+        "als_async": lambda s, d: factors.als(rate(s, d)),
         "program_bfs": _program_bfs,
         "program_pagerank": _program_pagerank,
         "sort_edges": lambda s, d: scan.sort_edges(flow(s, d)),
         "rmat": lambda s, d: graphs.rmat(s, 10, 1 << 14).edges,
         "erdos_renyi": lambda s, d: graphs.erdos_renyi(s, 1 << 10, 1 << 14).edges,
         "bipartite": lambda s, d: graphs.bipartite(s, 600, 400, 1 << 14).edges,
+        "generated": _generated,
+        "generated_symmetric": _symmetric,
+        "estimates": _estimates,
+        "binary_type1": lambda s, d: _written(s, d, 1),
+        "binary_type2": lambda s, d: _written(s, d, 2).select("src", "dst"),
+        "compressed_type1": lambda s, d: _written(s, d, 1, compressed=True),
+        "matrix_market": _matrix_market,
+        "pegasus": _pegasus,
     }
 
 
-def trade_ratings(spark: SparkSession, d: str) -> Graph:
-    return fixtures.ratings(spark, d)
-
-
 _FLOW = "SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, value AS weight FROM events"
 _WITH = f"""WITH RECURSIVE
 v AS (SELECT unnest(range(0, (SELECT max(user_id) + 1 FROM events))) AS vertex),
@@ -134,10 +201,11 @@ flow AS (SELECT * FROM ({_FLOW}) WHERE dst IS NOT NULL),
 buy AS (SELECT * FROM ({_FLOW} WHERE event_type = 'purchase') WHERE dst IS NOT NULL),
 np AS (SELECT count(*) AS n FROM part),
 tv AS (SELECT unnest(range(0, (SELECT n FROM np) + (SELECT count(*) FROM supplier))) AS vertex),
-tp AS (SELECT DISTINCT l_partkey AS src, l_suppkey + (SELECT n FROM np) AS dst FROM lineitem WHERE l_quantity >= 49 AND l_linenumber = 1),
+tp AS (SELECT DISTINCT l_partkey AS src, l_suppkey + (SELECT n FROM np) AS dst FROM lineitem),
 trade AS (SELECT src, dst FROM tp UNION ALL SELECT dst, src FROM tp),
 pairs AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(weight) AS weight FROM buy WHERE src <> dst GROUP BY ALL),
 deg AS (SELECT src AS vertex, count(*) AS degree FROM flow GROUP BY ALL)"""
+_MANY = 1 << 30
 _BFS = """,
 walk AS (SELECT 0::BIGINT AS vertex, 0::BIGINT AS level UNION SELECT b.dst, w.level + 1 FROM walk w JOIN buy b ON b.src = w.vertex WHERE w.level < 60),
 lv AS (SELECT vertex, min(level) AS level FROM walk GROUP BY vertex),
@@ -250,14 +318,27 @@ def oracle_sql() -> dict[str, str]:
         "bfs_async": bfs,
         "program_bfs": f"{_WITH}{_BFS}\nSELECT vertex, level FROM bfs",
         "bfs_counters": f"{_WITH}{_BFS}\nSELECT count(*) - 1 AS vertices_discovered, sum((SELECT count(*) FROM buy b WHERE b.src = l.vertex))::BIGINT AS edges_explored FROM lv l",
-        "bfs_forest": f"{_WITH}{_REACH}\nSELECT vertex, component FROM root",
+        "bfs_forest": f"""{_WITH},
+f AS (SELECT vertex, vertex AS component, vertex AS parent, 0::BIGINT AS level, 0 AS i FROM v
+  UNION ALL
+  SELECT vertex, least(old, coalesce(got // {_MANY}, old)), CASE WHEN got // {_MANY} < old THEN got % {_MANY} ELSE parent END, CASE WHEN got // {_MANY} < old THEN i + 1 ELSE level END, i + 1
+  FROM (SELECT vertex, min(component) AS old, min(parent) AS parent, min(level) AS level, min(got) AS got, min(i) AS i
+    FROM (SELECT vertex, component, parent, level, NULL::BIGINT AS got, i FROM f UNION ALL SELECT b.dst, NULL, NULL, NULL, f.component * {_MANY} + f.vertex, f.i FROM f JOIN buy b ON b.src = f.vertex) x WHERE i < 60 GROUP BY vertex))
+SELECT vertex, component, parent, level FROM f WHERE i = 60""",
         "sssp": f"{_WITH}{_DIST}\nSELECT vertex, round(d, 4) AS distance, CASE WHEN vertex <> 0 THEN (SELECT min(b.src) FROM buy b JOIN dist p ON p.vertex = b.src WHERE b.dst = x.vertex AND b.src <> b.dst AND b.weight > 0 AND p.d + b.weight = x.d) END AS predecessor FROM dist x",
         "sssp_forest": f"""{_WITH}{_REACH},
 f AS (SELECT r.vertex, r.component, CASE WHEN r.vertex = r.component THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END AS d, 0 AS i FROM root r
   UNION ALL
   SELECT x.vertex, min(x.component), min(x.d), min(x.i) + 1 FROM (SELECT vertex, component, d, i FROM f UNION ALL SELECT b.dst, f.component, f.d + b.weight, f.i FROM f JOIN buy b ON b.src = f.vertex JOIN root t ON t.vertex = b.dst AND t.component = f.component) x WHERE x.i < 60 GROUP BY x.vertex)
-SELECT vertex, component, round(d, 4) AS distance FROM f WHERE i = 60""",
+SELECT x.vertex, x.component, round(x.d, 4) AS distance,
+  CASE WHEN x.vertex <> x.component THEN (SELECT min(b.src) FROM buy b JOIN f p ON p.vertex = b.src AND p.i = 60 AND p.component = x.component WHERE b.dst = x.vertex AND b.src <> b.dst AND b.weight > 0 AND p.d + b.weight = x.d) END AS predecessor
+FROM f x WHERE x.i = 60""",
         "cc": f"{_WITH}{_TCC}\nSELECT vertex, component FROM tcc",
+        "cc_flow": f"""{_WITH},
+step AS (SELECT vertex, vertex AS component, 0 AS i FROM v
+  UNION ALL
+  SELECT x.vertex, min(x.component), min(x.i) + 1 FROM (SELECT vertex, component, i FROM step UNION ALL SELECT e.dst, s.component, s.i FROM step s JOIN (SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs) e ON e.src = s.vertex) x WHERE x.i < 60 GROUP BY x.vertex)
+SELECT vertex, component FROM step WHERE i = 60""",
         "cc_online": f"{_WITH}{_TCC}\nSELECT vertex, component FROM tcc",
         "cc_count": f"{_WITH}{_TCC}\nSELECT count(*) FILTER (vertex = component) AS cc_count FROM tcc",
         "scc": f"{_WITH}{_REACH}\nSELECT vertex, component FROM strong",
@@ -268,11 +349,19 @@ SELECT vertex, component, round(d, 4) AS distance FROM f WHERE i = 60""",
         "triangles": f"{_TRIANGLES}\nSELECT v.vertex, coalesce(n, 0) AS triangles FROM v LEFT JOIN tn USING (vertex)",
         "triangles_total": f"{_TRIANGLES}\nSELECT count(*) AS triangles FROM t",
         "hyperanf": f"""{_WITH},
-hop AS (SELECT vertex AS a, vertex AS b, 0 AS t FROM v UNION SELECT h.a, e.dst, h.t + 1 FROM hop h JOIN buy e ON e.src = h.b WHERE h.t < 4),
+hop AS (SELECT vertex AS a, vertex AS b, 0 AS t FROM v UNION SELECT h.a, e.dst, h.t + 1 FROM hop h JOIN buy e ON e.src = h.b WHERE h.t < 40),
 near AS (SELECT a, b, min(t) AS t FROM hop GROUP BY a, b)
 SELECT s.t::BIGINT AS t, (SELECT count(*) FROM near n WHERE n.t <= s.t) AS n FROM (SELECT DISTINCT t FROM near) s""",
+        "estimates": "SELECT * FROM (VALUES ('hyperanf', true), ('triangles', true), ('als', true)) t(name, within)",
+        "generated": "SELECT name, 16384::BIGINT AS edges, true AS ids_inside, true AS weights_inside, true AS no_loops, true AS share_as_expected FROM (VALUES ('rmat'), ('erdos_renyi'), ('bipartite')) t(name)",
+        "generated_symmetric": "SELECT 32768::BIGINT AS edges, 0::BIGINT AS without_reverse",
+        "binary_type1": f"{_WITH}\nSELECT src, dst, weight::FLOAT::DOUBLE AS weight FROM flow",
+        "binary_type2": f"{_WITH}\nSELECT src, dst FROM flow",
+        "compressed_type1": f"{_WITH}\nSELECT src, dst, weight::FLOAT::DOUBLE AS weight FROM flow",
+        "matrix_market": f"{_WITH}\nSELECT src, dst, weight FROM flow",
+        "pegasus": f"{_WITH}\nSELECT src, dst FROM flow",
         "bc": f"{_BC}\nSELECT vertex, round(centrality, 4) AS centrality FROM bc",
         "bc_best": f"{_BC}\nSELECT vertex, round(centrality, 4) AS centrality FROM bc WHERE vertex <> 0 ORDER BY round(centrality, 9) DESC, vertex LIMIT 1",
-        "belief_propagation": _bp(1),
-        "belief_propagation_graphchi": _bp_vertex(3),
+        "belief_propagation": _bp(4),
+        "belief_propagation_graphchi": _bp_vertex(4),
     }

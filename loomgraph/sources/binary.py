@@ -3,12 +3,15 @@
 Type 1 is (src, dst, weight), type 2 (src, dst), packed and little-endian; ids
 have 4 bytes and weights 4 in compact files, 8 and 8 in wide ones. Files are
 listed by Spark and read in record-aligned ranges, so one large file spreads
-over tasks.
+over tasks. Compressed files are zlib streams of the same records; such a
+stream can only be read from its start, so each file is one task's, and is
+read and written in pieces of bounded size.
 """
 
 from __future__ import annotations
 
 import configparser
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from ..graph import EDGE_SCHEMA, Graph
 
 RANGE = 32 << 20
+#: Bytes of a compressed file read at once, and those made of them.
+PIECE = 4 << 20
 _NAMES = ["src", "dst", "weight"]
 
 
@@ -52,16 +57,49 @@ def read_edges(spark: SparkSession, path: str, kind: int = 1, wide: bool = False
                 if length % form.itemsize:
                     raise ValueError(f"{name} has {length} bytes, which isn't a number of records of {form.itemsize}")
                 rows = np.frombuffer(_read(name, offset, min(step, length - offset)), form)
-                if wide and len(rows) and max(rows["src"].max(), rows["dst"].max()) > np.iinfo(np.int64).max:
-                    raise ValueError(f"{name} has ids above 2^63 - 1")
-                weight = pa.array(rows["weight"].astype(np.float64)) if kind == 1 else pa.nulls(len(rows), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(rows["src"].astype(np.int64)), pa.array(rows["dst"].astype(np.int64)), weight], _NAMES)
+                yield _columns(rows, kind, wide, name)
 
     return ranges.mapInArrow(read, EDGE_SCHEMA)
 
 
-def write_edges(edges: DataFrame, path: str, kind: int = 1, wide: bool = False) -> int:
-    """Writes a part file a task into the folder and returns the number of edges; the parts' bytes after each other are one edge list."""
+def _columns(rows: np.ndarray, kind: int, wide: bool, name: str) -> pa.RecordBatch:
+    if wide and len(rows) and max(rows["src"].max(), rows["dst"].max()) > np.iinfo(np.int64).max:
+        raise ValueError(f"{name} has ids above 2^63 - 1")
+    weight = pa.array(rows["weight"].astype(np.float64)) if kind == 1 else pa.nulls(len(rows), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(rows["src"].astype(np.int64)), pa.array(rows["dst"].astype(np.int64)), weight], _NAMES)
+
+
+def read_compressed(spark: SparkSession, path: str, kind: int = 1, wide: bool = False) -> DataFrame:
+    """src, dst and weight of edge lists that are zlib streams, one or several after each other in a file. A stream that ends early, and part of a record, are refused."""
+    form = record(kind, wide)
+    files = spark.read.format("binaryFile").load(path).select("path").repartition("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(name)
+                held, stream, fresh = b"", zlib.decompressobj(), True
+                with store.open_input_stream(at) as f:
+                    rest = b""
+                    while more := rest or f.read(PIECE):
+                        out, fresh = stream.decompress(more, PIECE), False
+                        rest = stream.unconsumed_tail
+                        if stream.eof:
+                            rest, stream, fresh = stream.unused_data, zlib.decompressobj(), True
+                        held += out
+                        whole = len(held) // form.itemsize * form.itemsize
+                        yield _columns(np.frombuffer(held[:whole], form), kind, wide, name)
+                        held = held[whole:]
+                if held or not fresh:
+                    raise ValueError(f"{name} ends within a {'record' if held else 'stream'}")
+
+    return files.mapInArrow(read, EDGE_SCHEMA)
+
+
+def write_edges(edges: DataFrame, path: str, kind: int = 1, wide: bool = False, compressed: bool = False) -> int:
+    """Writes a part file a task into the folder and returns the number of edges; the parts' bytes after each other are one edge list, and compressed, a list of zlib streams."""
     form = record(kind, wide)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,12 +109,15 @@ def write_edges(edges: DataFrame, path: str, kind: int = 1, wide: bool = False)
         store.create_dir(name)
         part, n = f"{name}/part-{TaskContext.get().partitionId():05d}.bin", 0
         with store.open_output_stream(f"{part}.{TaskContext.get().taskAttemptId()}") as f:
+            squeeze = zlib.compressobj() if compressed else None
             for batch in batches:
                 rows = np.empty(batch.num_rows, form)
                 for i, c in enumerate(form.names):
                     rows[c] = batch.column(i).to_numpy(zero_copy_only=False)
-                f.write(rows.tobytes())
+                f.write(squeeze.compress(rows.tobytes()) if squeeze else rows.tobytes())
                 n += len(rows)
+            if squeeze:
+                f.write(squeeze.flush())
         store.move(f"{part}.{TaskContext.get().taskAttemptId()}", part)
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
@@ -95,18 +136,19 @@ def descriptor(name: str, kind: int, vertices: int, edges: int) -> str:
     return f"[graph]\ntype={kind}\nname={name}\nvertices={vertices}\nedges={edges}\n"
 
 
-def read_graph(spark: SparkSession, ini_path: str, wide: bool = False) -> Graph:
+def read_graph(spark: SparkSession, ini_path: str, wide: bool = False, compressed: bool = False) -> Graph:
     """The graph of a descriptor; its edges are in the file or folder of its name beside it."""
     text = "\n".join(r.value for r in spark.read.text(ini_path).collect())
     d = read_descriptor(text)
-    return Graph(read_edges(spark, f"{ini_path.rsplit('/', 1)[0]}/{d['name']}", d["type"], wide), d["vertices"])
+    read = read_compressed if compressed else read_edges
+    return Graph(read(spark, f"{ini_path.rsplit('/', 1)[0]}/{d['name']}", d["type"], wide), d["vertices"])
 
 
-def write_graph(graph: Graph, folder: str, name: str, kind: int = 1, wide: bool = False) -> str:
+def write_graph(graph: Graph, folder: str, name: str, kind: int = 1, wide: bool = False, compressed: bool = False) -> str:
     """Writes the edges and the descriptor beside them; returns the descriptor's path."""
     from pyarrow import fs
 
-    n = write_edges(graph.edges, f"{folder}/{name}", kind, wide)
+    n = write_edges(graph.edges, f"{folder}/{name}", kind, wide, compressed)
     store, at = fs.FileSystem.from_uri(f"{folder}/{name}.ini")
     with store.open_output_stream(at) as f:
         f.write(descriptor(name, kind, graph.num_vertices, n).encode())

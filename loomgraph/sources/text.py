@@ -26,10 +26,12 @@ def _weight(seed: int) -> Column:
 
 
 def matrix_market(spark: SparkSession, path: str, weighted: bool = False, seed: int = 0) -> tuple[DataFrame, dict]:
-    """Edges of a coordinate file, ids from 0, and the size line (rows, columns, entries); the size line is the first that isn't a comment."""
-    head = spark.read.text(path).filter("value not like '\\%%' and trim(value) <> ''").limit(1).first()
-    rows, columns, entries = (int(x) for x in head.value.split()[:3])
-    body = _lines(spark, path, "%").withColumn("_n", F.monotonically_increasing_id()).filter("_n > 0")
+    """Edges of a coordinate file, or of a folder whose part with the header may be any, ids from 0, and the size line (rows, columns, entries): the first line after the header that isn't a comment."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).filter("value <> ''")
+    head = lines.groupBy("file").agg(F.count_if(F.col("value").startswith("%%")).alias("heads"), F.min(F.when(~F.col("value").startswith("%"), F.struct("n", "value"))).alias("size"))
+    size = head.orderBy(F.desc("heads"), "file").first()["size"]
+    rows, columns, entries = (int(x) for x in size.value.split()[:3])
+    body = lines.filter(~F.col("value").startswith("%") & (F.col("n") != size.n))
     ends = body.select((_field(0).cast("long") - 1).alias("src"), (_field(1).cast("long") - 1).alias("dst"), _field(2).cast("double").alias("weight"))
     return (ends if weighted else ends.select("src", "dst", _weight(seed))), {"rows": rows, "columns": columns, "entries": entries}
 

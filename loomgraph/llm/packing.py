@@ -8,10 +8,12 @@ backtracked to counts. A filling is used as often as the counts allow, so the
 plan has few rows. A sequence whose length is a power of two needs no padding
 and counts as having no slack.
 
-The plan maps (length, rank among the pieces of this length) to a sequence
-and an offset. Ranks come from a window over (length, salt) and the counts of
-salts, so no length, however frequent, lands in one task, and only the
-counts, at most window * SALTS, reach the driver.
+A whole window is a sequence of its own and needs no plan: its row's number
+names it, so that it is never ranked or moved. Of the others the plan maps
+(length, rank among the pieces of this length) to a sequence and an offset.
+Ranks come from a window over (length, salt) and the counts of salts, so no
+length, however frequent, lands in one task, and only the counts, at most
+window * SALTS, reach the driver.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .common import staged
 
 WINDOW = 4096
 END = 2
-SALTS = 64
+SALTS = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -150,13 +152,14 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> Plan:
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
-    """The pieces with sequence_id and offset: every id of every document in exactly one piece, each sequence gapless from 0.
+    """The pieces with sequence_id and offset: every id of every document in exactly one piece, each sequence gapless from 0. Sequences' numbers differ, but needn't follow each other.
 
     Rows with a repeated doc_id are packed as documents of their own; an empty
     table gives no rows.
     """
     salted = pieces(docs, path, window, end).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    kept = staged(salted, "pieces")
+    every = staged(salted, "pieces")
+    kept = every.filter(F.col("length") < window)
     counts = kept.groupBy("length", "_salt").count().toPandas().sort_values(["length", "_salt"], ignore_index=True)
     made = plan(counts.groupby("length")["count"].sum().to_dict(), window)
     before = counts.groupby("length")["count"].cumsum() - counts["count"]
@@ -172,4 +175,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: in
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     ranked = kept.withColumn("_row", F.expr("row_number() over (partition by length, _salt order by doc_id, start, ids_crc32)"))
-    return ranked.withColumn("_at", placed("length", "_salt", "_row")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_at.sequence_id", "_at.offset")
+    own = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    shared_out = ranked.withColumn("_at", placed("length", "_salt", "_row")).select(*own, "_at.sequence_id", "_at.offset")
+    alone = F.lit(made.sequences) + F.monotonically_increasing_id()
+    return every.filter(F.col("length") == window).select(*own, alone.alias("sequence_id"), F.lit(0).cast("long").alias("offset")).unionByName(shared_out)

@@ -5,7 +5,9 @@ nothing else: a token file. It is read in blocks that know nothing of
 documents. Within a block one vectorised comparison finds the separators. Each
 block then needs only the tokens that earlier blocks left open, which a prefix
 scan over one summary row per block gives: the running total minus the running
-total at the last separator before the block.
+total at the last separator before the block. The scan has two levels, within
+spans of blocks and over the spans, so that a stream of any length spreads
+over tasks.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import staged
 
 SEPARATOR = 50256
 BLOCK = 1 << 16
+#: Blocks in a span.
+SPAN = 1 << 10
 #: Stands for a null doc_id within a stream.
 NO_ID = -(1 << 63)
 BLOCKS = "stream string, block long, ids binary, docs binary"
@@ -124,17 +129,18 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> D
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["stream", "block", "n", "tail", "lengths", "docs"])
 
-    own = blocks.mapInArrow(search, found)
-    earlier = "over (partition by stream order by block rows between unbounded preceding and 1 preceding)"
-    stitched = own.selectExpr(
-        "*",
-        f"coalesce(sum(n) {earlier}, 0L) as _before",
-        f"coalesce(sum(size(lengths)) {earlier}, 0L) as _ordinal",
-        "sum(n) over (partition by stream order by block rows unbounded preceding) as _upto",
-        "max(block) over (partition by stream) = block as _last",
-    )
+    own = staged(blocks.mapInArrow(search, found).withColumn("span", F.expr(f"block div {SPAN}")), "found")
+    # within spans: what lies before a block, and where the last separator before it is
+    inside = "over (partition by stream, span order by block rows between unbounded preceding and 1 preceding)"
+    within = own.selectExpr("*", f"coalesce(sum(n) {inside}, 0L) as _at", f"coalesce(sum(size(lengths)) {inside}, 0L) as _ends")
+    within = within.selectExpr("*", "if(size(lengths) > 0, _at + n - tail, null) as _mark").selectExpr("*", f"max(_mark) {inside} as _since")
+    # of spans: the same, from one row each
+    span = within.groupBy("stream", "span").agg(F.sum("n").alias("_n"), F.sum(F.size("lengths")).alias("_k"), F.max("_mark").alias("_m"), F.max("block").alias("_b"))
+    earlier = "over (partition by stream order by span rows between unbounded preceding and 1 preceding)"
+    span = span.selectExpr("*", f"coalesce(sum(_n) {earlier}, 0L) as _from", f"coalesce(sum(_k) {earlier}, 0L) as _before", "max(_b) over (partition by stream) as _end")
+    span = span.selectExpr("stream", "span", "_before", "_end", f"_from - coalesce(max(_from + _m) {earlier}, 0L) as _held")
     # what is open at the start of a block: the tokens since the last separator before it
-    open_ = stitched.selectExpr("*", f"_before - coalesce(max(if(size(lengths) > 0, _upto - tail, null)) {earlier}, 0L) as _open")
+    open_ = within.join(span, ["stream", "span"]).selectExpr("*", "_before + _ends as _ordinal", "if(_since is null, _held + _at, _at - _since) as _open", "block = _end as _last")
     pieces = open_.selectExpr(
         "stream",
         "_ordinal",

@@ -93,7 +93,8 @@ def test_token_counts(docs):
 
 
 @pytest.mark.parametrize("block", [1, 2, 5, 64])
-def test_token_files(spark, tmp_path, block):
+def test_token_files(spark, tmp_path, block, monkeypatch):
+    monkeypatch.setattr(token_counts, "SPAN", 3)
     random.seed(block)
     want = []
     for k in range(6):

@@ -302,7 +302,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: n_pieces, n_bytes_fallback, ids_crc32 (little-endian unsigned 32-bit ids), and whether decoding gives the text again (markers in it as blanks)."""
+    """Per document: n_pieces, n_bytes_fallback, ids_crc32 (little-endian unsigned 32-bit ids), and whether decoding gives the text again (markers in it as blanks).
+
+    A null text is empty. Rows that repeat an id or a text have a row each;
+    columns other than doc_id and text are not read.
+    """
     path = path or model_path()
     schema = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean"
 

@@ -178,7 +178,7 @@ def fit(x: dict[str, np.ndarray], y: np.ndarray, seed: int = 11) -> Ensemble:
 
 
 def held_out(column: str = "doc_id") -> Column:
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Ensemble:
@@ -191,5 +191,5 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Ensemble
 
 
 def score(docs: DataFrame, model: Ensemble) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row."""
+    """doc_id, held_out, score and predicted of each row, repeated ones too; a null text is empty, a null doc_id is not held out, and other columns are not read."""
     return statistics(docs).select("doc_id", held_out().alias("held_out"), model.column().alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

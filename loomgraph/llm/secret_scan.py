@@ -69,7 +69,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
 
     ledger has the blobs scanned before with their rules (`LEDGER`), findings
     their spans (`FINDINGS`). A changed rule gets a new version, and only it is
-    scanned again. Spans are in code points, end exclusive.
+    scanned again. Spans are in code points, end exclusive. Paths may be null
+    or repeated; columns other than path and text are not read.
     """
     of = blobs(docs, path)
     paths = of.select("path", "sha")
@@ -165,7 +166,12 @@ def redact(docs: DataFrame, path: str = "doc_id") -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The query's columns: counts by base kind, the hash of the base spans, and all spans as text."""
+    """The query's columns: counts by base kind, the hash of the base spans, and all spans as text.
+
+    A row for each row of docs: repeated rows are one blob, scanned once, and
+    each gets its findings. A null text is the empty blob. Other columns are
+    not read.
+    """
     paths, _, findings = scan(docs)
     base = F.array(*(F.lit(k) for k in BASE))
     rows = by_path(paths, findings)

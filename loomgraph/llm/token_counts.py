@@ -154,5 +154,5 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = "<u2") -> D
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id and n_tokens of every document, from its stream."""
+    """doc_id and n_tokens of every document, from its stream. A null text is empty; rows that repeat an id have a row each; other columns are not read."""
     return scan(token_streams(docs)).select("doc_id", "n_tokens")

@@ -1,12 +1,13 @@
 """Quality rules, license scans and secret scans against plain Python."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
 import pytest
 
-from loomgraph.llm import license_scan, quality_rules, secret_scan
+from loomgraph.llm import license_scan, quality_model, quality_rules, secret_scan
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [
@@ -140,6 +141,33 @@ def test_secret_redaction(docs):
         assert r.text == text, r.doc_id
 
 
+def test_quality_of_every_white_space_byte(spark):
+    gaps = [chr(b) for b in (0x20, *range(0x09, 0x0E)) if b != 0x0A]
+    texts = ["\n".join([*gaps, *gaps, "f", "n", "r", "t", "v", "x0c", "f", "b", "\u00a0", "\u0085", "", "f\f", "f"]), "\f\n\f\n\f\n\f", "f\nf\nff\nff", "a\x0bb\x0cc\rd\te f\x1fg\u00a0h"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_rules.ledger(df).collect():
+        words, lines = WS.findall(texts[r.doc_id]), [x for x in texts[r.doc_id].split("\n") if WS.search(x)]
+        assert (r.n_words, r.word_chars, r.n_lines, r.n_dup_lines) == (len(words), sum(map(len, words)), len(lines), len(lines) - len(set(lines))), r.doc_id
+
+
+def test_statistics_of_the_quality_model(docs):
+    got = {r.doc_id: r for r in quality_model.statistics(docs).collect()}
+    for r in docs.collect():
+        text = r.text or ""
+        words, lines = WS.findall(text), text.split("\n")
+        n, letters = max(1, len(words)), sum(map(len, words))
+        count = lambda p: len(re.findall(p, text))
+        halved = text.replace("!!", "!")
+        want = {
+            "words": math.log(1 + len(words)), "word_length": letters / n, "symbols": count(r"[#*$%&|<>]") / n, "shouts": (len(text) - len(halved)) / n,
+            "capitals": count("[A-ZÀ-ÖØ-Þ]") / max(1, letters), "distinct": len(set(words)) / n, "digits": count("[0-9]") / max(1, letters),
+            "stops": count("[.,;:?]") / n, "lines": len(lines) / n, "same_lines": (len(lines) - len(set(lines))) / max(1, len(lines)),
+        }
+        assert want.keys() == quality_model.STATISTICS.keys()
+        for k, x in want.items():
+            assert abs(got[r.doc_id][f"s_{k}"] - x) < 1e-9, (r.doc_id, k)
+
+
 def blocks(words, t):
     """The best containment of a template in a list of words, by every run of words."""
     best, least = 0.0, license_scan.needed(len(t.words), license_scan.THRESHOLD)

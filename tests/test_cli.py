@@ -26,3 +26,17 @@ def test_reverse_writes_an_edge_list(spark, ini, tmp_path):
     main(["-b", "reverse", "-g", ini, "-o", f"file://{tmp_path}/back"], spark)
     there, back = binary.read_graph(spark, ini), binary.read_graph(spark, f"file://{tmp_path}/back.ini")
     assert there.reverse().edges.exceptAll(back.edges).isEmpty() and back.edges.count() == there.edges.count()
+
+
+def test_a_line_of_timings(spark, ini, tmp_path):
+    for _ in range(2):
+        main(["-b", "degree_cnt", "-g", ini, "--filename", str(tmp_path / "times.csv")], spark)
+    rows = [list(map(float, x.split(","))) for x in (tmp_path / "times.csv").read_text().splitlines()]
+    assert len(rows) == 2 and all(0 <= setup <= wall for setup, wall in rows)
+
+
+def test_reads_compressed_lists(spark, ini, tmp_path):
+    g = binary.read_graph(spark, ini)
+    packed = binary.write_graph(g, f"file://{tmp_path}", "z", compressed=True)
+    plain, out = main(["-b", "degree_cnt", "-g", ini], spark), main(["-b", "degree_cnt", "-g", packed, "--compressed"], spark)
+    assert plain.exceptAll(out).isEmpty() and out.exceptAll(plain).isEmpty()

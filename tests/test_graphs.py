@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import random
 
+import numpy as np
 import pytest
 
 from loomgraph.graph import from_edges
@@ -135,6 +136,38 @@ def test_als(spark):
     assert factors.als_rmse(g, found).first().rmse < 0.02
 
 
+def test_als_is_plain_least_squares(spark):
+    rng = np.random.default_rng(5)
+    left, right, rank, reg, rounds = 25, 15, 5, 0.065, 5
+    some = [(i, j, float(1 + 4 * rng.random())) for i in range(left) for j in range(right) if rng.random() < 0.6]
+    u = {i: np.array([((i * (7919 + 104729 * k)) % 1000 + 1) / 1000 for k in range(rank)]) for i, _, _ in some}
+
+    def solved(ratings, other):
+        out = {}
+        for x in {a for a, _, _ in ratings}:
+            f = np.array([other[b] for a, b, _ in ratings if a == x])
+            r = np.array([r for a, _, r in ratings if a == x])
+            out[x] = np.linalg.solve(f.T @ f + reg * len(r) * np.eye(rank), f.T @ r)
+        return out
+
+    for _ in range(rounds):
+        v = solved([(j, i, r) for i, j, r in some], u)
+        u = solved(some, v)
+    g = graph(spark, left + right, two_way([(i, left + j, r) for i, j, r in some]))
+    found = factors.als(g, rounds)
+    got = {r.vertex: np.array(r.factor) for r in found.collect()}
+    want = u | {left + j: x for j, x in v.items()}
+    assert got.keys() == want.keys() and max(np.abs(got[k] - want[k]).max() for k in want) < 1e-9
+    row = factors.als_rmse(g, found).first()
+    assert row.ratings == len(some) and abs(row.rmse - np.sqrt(np.mean([(r - u[i] @ v[j]) ** 2 for i, j, r in some]))) < 1e-9
+
+
+def test_spanning_forest_of_a_long_path(spark):
+    n = 300  # each round halves it: many rounds and jumps
+    edges = two_way([(k, k + 1, (k * 7919) % 101 + 1) for k in range(n - 1)] + [(0, n - 1, 1000)])
+    assert sets.mcst(graph(spark, n, edges)).count() == n - 1
+
+
 def random_graph(seed):
     random.seed(seed)
     n = random.randint(2, 12)

@@ -40,6 +40,31 @@ def test_binary_refuses(spark, tmp_path):
     assert binary.read_descriptor(binary.descriptor("g", 2, 5, 7)) == {"type": 2, "name": "g", "vertices": 5, "edges": 7}
 
 
+@pytest.mark.parametrize("kind", [1, 2])
+def test_compressed_round_trip(spark, tmp_path, kind, monkeypatch):
+    monkeypatch.setattr(binary, "PIECE", 100)
+    g = graphs.erdos_renyi(spark, 100, 700, seed=4)
+    ini = binary.write_graph(g, f"file://{tmp_path}", "g", kind, True, compressed=True)
+    parts = sorted((tmp_path / "g").glob("part-*.bin"))
+    back = binary.read_graph(spark, ini, True, compressed=True)
+    want = sorted(((a, b, None if kind == 2 else w) for a, b, w in g.edges.collect()), key=str)
+    assert sorted(map(tuple, back.edges.collect()), key=str) == want
+    whole = b"".join(p.read_bytes() for p in parts)  # streams after each other are one list
+    (tmp_path / "one.bin").write_bytes(whole)
+    assert sorted(map(tuple, binary.read_compressed(spark, f"file://{tmp_path}/one.bin", kind, True).collect()), key=str) == want
+    (tmp_path / "short.bin").write_bytes(whole[:-5])
+    with pytest.raises(Exception, match="ends within a"):
+        binary.read_compressed(spark, f"file://{tmp_path}/short.bin", kind, True).count()
+
+
+def test_matrix_market_in_parts(spark, tmp_path):
+    (tmp_path / "mm").mkdir()
+    (tmp_path / "mm/b.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% made by hand\n9 9 300\n")
+    (tmp_path / "mm/a.mtx").write_text("".join(f"{k % 9 + 1} {k % 7 + 1} 0.5\n" for k in range(300)))
+    df, shape = text.matrix_market(spark, f"file://{tmp_path}/mm", weighted=True)
+    assert shape == {"rows": 9, "columns": 9, "entries": 300} and df.count() == 300 and df.filter("src > 8 or dst > 6 or weight <> 0.5").isEmpty()
+
+
 def test_text_formats(spark, tmp_path):
     ends = lambda df: sorted((r.src, r.dst) for r in df.collect())
     write = lambda name, body: (tmp_path / name).write_text(body) and f"file://{tmp_path}/{name}"

@@ -3,17 +3,25 @@
 A loop's state is checkpointed each round, to the folder in
 spark.checkpoint.dir, so plans don't grow and a lost executor costs a read.
 checkpoint() keeps the partitioning, so state that is joined by id stays put
-and only messages move. It also keeps what Spark knows of the order and of
-equal columns, which grows with each self-join of a state: such loops deal
-their state out anew (`by`), which leaves one key.
+and only messages move. It also keeps Spark's estimate of the size, which a
+join multiplies: joined with itself each round, a state of some rows gets an
+estimate with millions of digits, and planning never ends. So once in some
+rounds, when the estimate is long, the state is written as a table and read
+back, which has its true size.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bits of an estimated size from which a state is written as a table.
+LONGEST = 1024
+_written: list[tuple[SparkSession, str]] = []
+
 
 class NotConverged(RuntimeError):
     """A loop reached its last permitted round with work left."""
@@ -36,10 +44,35 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended: nothing to reach the folder with
+            return
+
+
+def _estimate_bits(df: DataFrame) -> int:
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, with its lineage cut."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if _estimate_bits(df) <= LONGEST:
+        return df.checkpoint(eager=True)
+    if not _written:
+        atexit.register(_clean)
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def by(df: DataFrame, key: str) -> DataFrame:

@@ -7,9 +7,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.graph import from_edges
 from loomgraph.operators import balls, belief, centrality, components, factors, rank, scan, sets, traversal
+from loomgraph.plans import loop
 from loomgraph.plans.loop import NotConverged
 
 
@@ -168,6 +170,14 @@ def test_spanning_forest_of_a_long_path(spark):
     assert sets.mcst(graph(spark, n, edges)).count() == n - 1
 
 
+def test_estimates_stay_short_through_many_rounds(spark):
+    state = loop.cut(spark.range(3).select("id", F.col("id").alias("up")))
+    for _ in range(14):  # unchecked, the estimate's digits double each round
+        state = loop.cut(state.join(state.toDF("up", "_u"), "up").select("id", F.col("_u").alias("up")))
+        assert loop._estimate_bits(state) <= 2 * loop.LONGEST + 64
+    assert sorted(map(tuple, state.collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
 def random_graph(seed):
     random.seed(seed)
     n = random.randint(2, 12)

@@ -274,10 +274,10 @@ def celled(members: DataFrame) -> DataFrame:
     """key, i, j, own, rep, component, copies, unit: each member in the cells that hold all pairs that rings leave open. i and j are (ring, part) of a cell's two sides, each of about BLOCK members."""
     most, sure = int(RINGS) + 1, int(RINGS) - 2
     shape = members.groupBy("key", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
-    cut = members.join(shape, ["key", "ring"]).withColumn("own", F.struct("ring", F.pmod(F.xxhash64("rep"), "_parts").alias("part"))).drop("_parts")
-    other = shape.toDF("key", "_ring", "_parts")
-    met = cut.withColumn("_ring", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ring") - most), F.col("ring") + most))).join(other, ["key", "_ring"])
-    open_ = met.filter(F.col("ring") + F.col("_ring") > sure).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    # the rings that each ring of a key must meet: so that only vectors in them are copied
+    pairs = shape.withColumnRenamed("_parts", "_mine").join(shape.withColumnRenamed("ring", "_ring"), "key").filter((F.abs(F.col("ring") - F.col("_ring")) <= most) & (F.col("ring") + F.col("_ring") > sure))
+    met = members.join(pairs, ["key", "ring"]).withColumn("own", F.struct("ring", F.pmod(F.xxhash64("rep"), "_mine").alias("part")))
+    open_ = met.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
     open_ = open_.withColumn("_other", F.struct(F.col("_ring").alias("ring"), F.col("_part").alias("part")))
     return open_.select("key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "rep", "component", "copies", "unit")
 

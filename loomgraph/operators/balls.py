@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import by, cut
+from ..plans.loop import Dealt, by, cut
 
 Series = list[tuple[int, float]]
 
@@ -23,11 +23,11 @@ def hyperanf_exact(graph: Graph, maxiters: int = 100, epsilon: float = 0.001, ru
 
     Pairs found in a round move once: only they are joined in the next.
     """
-    edges = by(graph.edges.filter("src <> dst").select("src", "dst").distinct(), "src")
+    edges = Dealt(graph.edges.filter("src <> dst").select("src", "dst").distinct())
     known = cut(graph.vertices.select("id", F.col("id").alias("from")))
     fresh, series, n = known, [(0, graph.num_vertices)], graph.num_vertices
     for t in range(1, maxiters):
-        step = edges.join(fresh.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "from").distinct()
+        step = edges.met(fresh.withColumnRenamed("id", "src")).select(F.col("dst").alias("id"), "from").distinct()
         fresh = cut(step.join(known, ["id", "from"], "left_anti"))
         more = fresh.count()
         if not more:
@@ -49,13 +49,13 @@ def registers(rsd: float) -> int:
 def hyperanf(graph: Graph, maxiters: int = 100, epsilon: float = 0.001, rsd: float = 0.10, run_to_completion: bool = False) -> DataFrame:
     """The same estimated by a sketch of each vertex's ball, united along the edges; only changed sketches are sent."""
     k = registers(rsd)
-    edges = by(graph.edges.filter("src <> dst").select("src", "dst").distinct(), "src")
+    edges = Dealt(graph.edges.filter("src <> dst").select("src", "dst").distinct())
     state = by(graph.vertices.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(k)).alias("ball")).withColumn("_active", F.lit(True)), "id")
     total = lambda: state.agg(F.sum(F.hll_sketch_estimate("ball"))).first()[0] or 0
     n = total()
     series: Series = [(0, n)]
     for t in range(1, maxiters):
-        got = edges.join(state.filter("_active").select(F.col("id").alias("src"), "ball"), "src").groupBy(F.col("dst").alias("id")).agg(F.hll_union_agg("ball").alias("_got"))
+        got = edges.met(state.filter("_active").select(F.col("id").alias("src"), "ball")).groupBy(F.col("dst").alias("id")).agg(F.hll_union_agg("ball").alias("_got"))
         met = state.select("id", "ball").join(got, "id", "left")
         new = F.when(F.col("_got").isNull(), F.col("ball")).otherwise(F.hll_union("ball", "_got"))
         grown = met.withColumn("_new", new)

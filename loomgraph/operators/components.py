@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import by, cut
+from ..plans.loop import Dealt, by, cut
 
 
-def least_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def least_reaching(edges: Dealt, labels: DataFrame) -> DataFrame:
     """labels (id, component) lowered along edges until nothing changes.
 
     The component becomes the least label that reaches a vertex. Where a label
@@ -19,7 +19,7 @@ def least_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """
     state = cut(labels.withColumn("_active", F.lit(True)))
     while True:
-        sent = edges.join(state.filter("_active").select(F.col("id").alias("src"), F.col("component").alias("_c")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("_c").alias("_best"))
+        sent = edges.met(state.filter("_active").select(F.col("id").alias("src"), F.col("component").alias("_c"))).groupBy(F.col("dst").alias("id")).agg(F.min("_c").alias("_best"))
         lower = state.select("id", "component").join(sent, "id", "left").withColumn("_low", F.least("component", "_best"))
         jump = state.select(F.col("id").alias("_low"), F.col("component").alias("_jump"))
         new = lower.join(jump, "_low", "left").select("id", F.least("_low", "_jump").alias("_new"), "component")
@@ -31,7 +31,7 @@ def least_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def cc(graph: Graph, symmetrize: bool = False) -> DataFrame:
     """vertex and component, the least vertex that reaches it; on a symmetric graph (or with symmetrize) the connected component."""
     g = graph.both_ways() if symmetrize else graph
-    edges = by(g.edges.filter("src <> dst").select("src", "dst").distinct(), "src")
+    edges = Dealt(g.edges.filter("src <> dst").select("src", "dst").distinct())
     return least_reaching(edges, g.vertices.select("id", F.col("id").alias("component"))).withColumnRenamed("id", "vertex")
 
 
@@ -59,10 +59,10 @@ def scc(graph: Graph) -> DataFrame:
         if trimmed.count() < open_edges.count():
             open_edges = trimmed
             continue
-        edges = by(open_edges, "src")
+        edges = Dealt(open_edges)
         colour = least_reaching(edges, live.select("id", F.col("id").alias("component")))
         a, b = colour.toDF("src", "_a"), colour.toDF("dst", "_b")
-        same = cut(edges.join(a, "src").join(b, "dst").filter("_a = _b").select("src", "dst", F.col("_a").alias("colour")))
+        same = cut(edges.met(a).join(b, "dst").filter("_a = _b").select("src", "dst", F.col("_a").alias("colour")))
         back = by(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "src")
         reached = cut(colour.filter("id = component"))
         frontier = reached

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import by, cut
+from ..plans.loop import Dealt, by, cut
 
 DAMPING = 0.85
 
@@ -19,10 +19,10 @@ def _shares(graph: Graph) -> DataFrame:
 
 def pagerank(graph: Graph, niters: int = 5) -> DataFrame:
     """vertex and rank: r0 = 1, then 0.15 + 0.85 times the shares received, niters times; not normalised, and nothing is given back by sinks."""
-    edges = by(_shares(graph), "src")
+    edges = Dealt(_shares(graph))
     rank = by(graph.vertices.select("id", F.lit(1.0).alias("rank")), "id")
     for k in range(niters):
-        got = edges.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("_got"))
+        got = edges.met(rank.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("_got"))
         rank = rank.select("id").join(got, "id", "left").select("id", (F.lit(1 - DAMPING) + DAMPING * F.coalesce("_got", F.lit(0.0))).alias("rank"))
         if k % 4 == 3 and k + 1 < niters:
             rank = cut(rank)
@@ -34,13 +34,13 @@ def pagerank_ddf(graph: Graph, niters: int = 5, threshold: float = 0.5) -> DataF
 
     At most niters rounds; what the last one delivered stays in delta.
     """
-    edges = by(_shares(graph), "src")
+    edges = Dealt(_shares(graph))
     degrees = graph.out_degrees().withColumnRenamed("vertex", "id")
     state = by(graph.vertices.join(degrees, "id", "left").select("id", F.lit(1 - DAMPING).alias("rank"), F.lit(1.0).alias("delta"), F.coalesce("degree", F.lit(0)).alias("degree")), "id")
     for _ in range(niters):
         pushes = (F.col("degree") > 0) & (F.try_divide("delta", "degree") > threshold)
         marked = state.withColumn("_push", F.coalesce(pushes, F.lit(False)))
-        sent = edges.join(marked.filter("_push").select(F.col("id").alias("src"), "delta"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("delta") * F.col("share")).alias("_got"))
+        sent = edges.met(marked.filter("_push").select(F.col("id").alias("src"), "delta")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("delta") * F.col("share")).alias("_got"))
         new = marked.join(sent, "id", "left").select(
             "id",
             F.when(F.col("_push"), F.col("rank") + F.col("delta")).otherwise(F.col("rank")).alias("rank"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import NotConverged, by, cut
+from ..plans.loop import Dealt, NotConverged, by, cut
 from ..plans.program import VertexProgram, run
 
 
@@ -17,12 +17,12 @@ def bfs(graph: Graph, root: int = 0) -> DataFrame:
     A root outside the graph reaches nothing. Each level joins the edges with
     its frontier only, and drops what was visited.
     """
-    edges = by(graph.edges.select("src", "dst"), "src")
+    edges = Dealt(graph.edges.select("src", "dst"))
     visited = by(graph.vertices.filter(F.col("id") == root).select(F.col("id").alias("vertex"), F.lit(0).cast("long").alias("level"), F.col("id").alias("parent")), "vertex")
     level = 0
     while True:
         frontier = visited.filter(F.col("level") == level).select(F.col("vertex").alias("src"))
-        reached = edges.join(frontier, "src").groupBy(F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
+        reached = edges.met(frontier).groupBy(F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
         level += 1
         new = cut(reached.join(visited.select("vertex"), "vertex", "left_anti").select("vertex", F.lit(level).cast("long").alias("level"), "parent"))
         if new.isEmpty():

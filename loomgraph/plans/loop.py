@@ -17,7 +17,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Out-edges of a vertex, up to which they stay in one task.
+HUB = 1 << 20
 #: Bits of an estimated size from which a state is written as a table.
 LONGEST = 1024
 _written: list[tuple[SparkSession, str]] = []
@@ -78,3 +81,29 @@ def cut(df: DataFrame) -> DataFrame:
 def by(df: DataFrame, key: str) -> DataFrame:
     """df dealt out by key, once, for all rounds of a loop."""
     return cut(df.repartition(key))
+
+
+class Dealt:
+    """Edges dealt out by src, once, for all rounds of a loop.
+
+    The out-edges of a vertex lie in one task, which joins them in place with
+    that vertex's row. Those of a hub would be a task that grows with it: they
+    are cut into parts by dst, and only a hub's row is copied to its parts.
+    """
+
+    def __init__(self, edges: DataFrame):
+        degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HUB)
+        self.hubs: DataFrame | None = cut(degree.select("src", F.ceil(F.col("_n") / HUB).alias("_parts")))
+        if self.hubs.isEmpty():
+            self.hubs, self.edges = None, by(edges, "src")
+        else:
+            parted = edges.join(self.hubs, "src", "left").withColumn("_part", F.pmod(F.xxhash64("dst"), F.coalesce("_parts", F.lit(1))))
+            self.edges = cut(parted.drop("_parts").repartition("src", "_part"))
+
+    def met(self, rows: DataFrame) -> DataFrame:
+        """The edges with the columns of rows (src, …), where src has a row."""
+        if self.hubs is None:
+            return self.edges.join(rows, "src")
+        last = F.coalesce("_parts", F.lit(1)).cast("long") - 1
+        copied = rows.join(self.hubs, "src", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        return self.edges.join(copied.drop("_parts"), ["src", "_part"]).drop("_part")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .loop import NotConverged, by, cut
+from .loop import Dealt, NotConverged, by, cut
 
 
 @dataclass(frozen=True)
@@ -57,14 +57,14 @@ def run(graph: Graph, program: VertexProgram, on_step: Callable[[int, DataFrame]
     `strict` is set.
     """
     p = program
-    edges = by(graph.edges, "src")
+    edges = Dealt(graph.edges)
     state = graph.vertices.select("id", *(c.alias(k) for k, c in p.init.items()))
     state = by(state.withColumn("_active", p.starts), "id")
     counted: list[dict] = []
     steps, last = 0, p.fixed_steps if p.fixed_steps is not None else p.max_steps
     while steps < last:
         steps += 1
-        sent = edges.join(state.filter("_active").drop("_active").withColumnRenamed("id", "src"), "src")
+        sent = edges.met(state.filter("_active").drop("_active").withColumnRenamed("id", "src"))
         if p.emit is not None:
             sent = sent.filter(p.emit)
         inbox = sent.select("dst", *(c.alias(k) for k, c in p.messages.items())).groupBy("dst").agg(*(c.alias(k) for k, c in p.gather.items()))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..graph import Graph
 from ..operators.components import least_reaching
-from ..plans.loop import by
+from ..plans.loop import Dealt
 
 
 def _labels(spark: SparkSession, state: str, batch: int, num_vertices: int) -> DataFrame:
@@ -42,8 +42,8 @@ def merge(edges: DataFrame, labels: DataFrame, num_vertices: int) -> DataFrame:
     """Labels (id, component) after some more edges: components of the old components' graph, then one lookup a vertex."""
     old_a, old_b = labels.toDF("src", "_a"), labels.toDF("dst", "_b")
     between = edges.select("src", "dst").join(old_a, "src").join(old_b, "dst").filter("_a <> _b").select(F.col("_a").alias("src"), F.col("_b").alias("dst")).distinct()
-    both = by(Graph(between.withColumn("weight", F.lit(None).cast("double")), num_vertices).both_ways().edges.select("src", "dst").distinct(), "src")
-    touched = both.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    both = Dealt(Graph(between.withColumn("weight", F.lit(None).cast("double")), num_vertices).both_ways().edges.select("src", "dst").distinct())
+    touched = both.edges.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("component"))
     new = least_reaching(both, touched).toDF("component", "_new")
     return labels.join(new, "component", "left").select("id", F.coalesce("_new", "component").alias("component"))
 

@@ -178,6 +178,17 @@ def test_estimates_stay_short_through_many_rounds(spark):
     assert sorted(map(tuple, state.collect())) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_hubs_are_cut_into_parts(spark, monkeypatch):
+    edges = [(0, k, 1 + k % 3) for k in range(1, 25)] + [(k, k // 2, 2) for k in range(1, 25)] + [(3, 0, 1)] * 9
+    g = graph(spark, 25, edges)
+    rows = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+    asked = lambda: [rows(f(g)) for f in (traversal.bfs, traversal.sssp, rank.pagerank, components.cc, components.scc)]
+    want = asked()
+    monkeypatch.setattr(loop, "HUB", 4)
+    assert loop.Dealt(g.edges).hubs.count() == 2
+    assert asked() == want
+
+
 def random_graph(seed):
     random.seed(seed)
     n = random.randint(2, 12)

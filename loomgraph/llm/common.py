@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -59,9 +61,22 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and lost executors cost only a read."""
-    return staged_as(df, name)[0]
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged within are deleted at the end, but for lasting ones, which are the scope's around it."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in own:
+            drop_staged(path)
+
+
+def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, and lost executors cost only a read. It stays until its scope or, without one, the process ends."""
+    return staged_as(df, name, lasting)[0]
 
 
 @contextlib.contextmanager
@@ -75,8 +90,11 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
-def staged_as(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def staged_as(df: DataFrame, name: str, lasting: bool = False) -> tuple[DataFrame, str]:
     path = staged_path(df.sparkSession, name)
+    scopes = _scopes.get()[:-1] if lasting else _scopes.get()
+    if scopes:
+        scopes[-1].append(path)
     with shuffles_dropped(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

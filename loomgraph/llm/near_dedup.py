@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import staged
+from .common import scratch, staged
 from .components import components
 from .runs import runs
 
@@ -416,56 +416,58 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     null if no row of it has one. Other columns are not read. An empty table
     gives an empty result.
     """
-    name = ["h1", "h2", "n_shingles"]
-    sigs = staged(signatures(docs, size), "signatures")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("of")
-    classes = sigs.filter("n_shingles > 0").groupBy(*name).agg(one, F.first("sig").alias("sig"))
-    classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), *name, F.col("of.doc_id").alias("doc"), F.col("of.key").alias("key"), "sig"), "classes")
-    own = staged(sigs.select("doc_id", *name).join(classes.select("id", *name), name, "left").select("doc_id", "n_shingles", "id"), "own")
-    rows = staged(forest(classes), "forest")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * ORDERS // ROWS))
-    plain = rows.withColumns({"component": F.col("id"), "crowd": F.lit(1).cast("long")})
-    found, torn = candidates(plain, NEAR[0], True, parts)
-    pairs = staged(found.select("a", "b"), "pairs")
-    shared = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
-    chosen = classes.join(shared, "id", "left_semi").select("id", F.coalesce("doc", F.lit(0)).alias("_doc"), "key")
-    # merge joins at every size: texts move in proportion to the input, and hot ids can be split
-    moved = _keyed(docs).select(F.coalesce("doc_id", F.lit(0)).alias("_doc"), "key", "text").join(chosen.hint("merge"), ["_doc", "key"])
-    texts = staged(moved.groupBy("_doc", "key", "id").agg(F.first("text").alias("text")).select("id", "text"), "texts")
-    links = staged(verify(pairs, texts, size, percent).unionByName(repeated(own)), "links")
-    labels = components(links)
-    seen, met = pairs, None
-    for near in NEAR[1:]:
+    with scratch():
+        name = ["h1", "h2", "n_shingles"]
+        sigs = staged(signatures(docs, size), "signatures")
+        one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("of")
+        classes = sigs.filter("n_shingles > 0").groupBy(*name).agg(one, F.first("sig").alias("sig"))
+        classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), *name, F.col("of.doc_id").alias("doc"), F.col("of.key").alias("key"), "sig"), "classes")
+        own = staged(sigs.select("doc_id", *name).join(classes.select("id", *name), name, "left").select("doc_id", "n_shingles", "id"), "own", lasting=True)
+        rows = staged(forest(classes), "forest")
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * ORDERS // ROWS))
+        plain = rows.withColumns({"component": F.col("id"), "crowd": F.lit(1).cast("long")})
+        found, torn = candidates(plain, NEAR[0], True, parts)
+        pairs = staged(found.select("a", "b"), "pairs")
+        shared = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
+        chosen = classes.join(shared, "id", "left_semi").select("id", F.coalesce("doc", F.lit(0)).alias("_doc"), "key")
+        # merge joins at every size: texts move in proportion to the input, and hot ids can be split
+        moved = _keyed(docs).select(F.coalesce("doc_id", F.lit(0)).alias("_doc"), "key", "text").join(chosen.hint("merge"), ["_doc", "key"])
+        texts = staged(moved.groupBy("_doc", "key", "id").agg(F.first("text").alias("text")).select("id", "text"), "texts")
+        links = staged(verify(pairs, texts, size, percent).unionByName(repeated(own)), "links")
+        labels = components(links)
+        seen, met = pairs, None
+        for near in NEAR[1:]:
+            sizes = _sizes(labels)
+            found, torn = candidates(_known(rows, labels, sizes), near, False, parts)
+            found = staged(found, "pairs")
+            pairs = found.filter(F.col("task") == PAIR).select("a", "b")
+            demands = found.filter(F.col("task") == DEMAND).select(F.col("a").alias("id"), F.col("b").alias("component")).join(sizes, "component")
+            if met is not None:  # a component as it was needn't be met again
+                demands = demands.join(met, ["id", "component", "crowd"], "left_anti")
+            met = demands if met is None else met.unionByName(demands)
+            more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent)
+            more = staged(more.unionByName(meet_crowds(demands.select("id", "component"), labels, sizes, texts, size, percent)), "links")
+            seen = seen.unionByName(pairs)
+            if more.isEmpty():
+                break
+            links = links.unionByName(more)
+            labels = components(links)
+        # what shares a region and isn't in one component by now: small ones by rare shingles, the others with the crowded component
         sizes = _sizes(labels)
-        found, torn = candidates(_known(rows, labels, sizes), near, False, parts)
-        found = staged(found, "pairs")
-        pairs = found.filter(F.col("task") == PAIR).select("a", "b")
-        demands = found.filter(F.col("task") == DEMAND).select(F.col("a").alias("id"), F.col("b").alias("component")).join(sizes, "component")
-        if met is not None:  # a component as it was needn't be met again
+        at = staged(_known(rows, labels, sizes), "regions")
+        demands = demanded(at)
+        if met is not None:
             demands = demands.join(met, ["id", "component", "crowd"], "left_anti")
-        met = demands if met is None else met.unionByName(demands)
-        more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent)
-        more = staged(more.unionByName(meet_crowds(demands.select("id", "component"), labels, sizes, texts, size, percent)), "links")
-        seen = seen.unionByName(pairs)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        labels = components(links)
-    # what shares a region and isn't in one component by now: small ones by rare shingles, the others with the crowded component
-    sizes = _sizes(labels)
-    at = staged(_known(rows, labels, sizes), "regions")
-    demands = demanded(at)
-    if met is not None:
-        demands = demands.join(met, ["id", "component", "crowd"], "left_anti")
-    demands = staged(demands.select("id", "component"), "demands")
-    pairs, blocks = meet_wide(at, near, torn, texts, size, percent)
-    more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent).unionByName(blocks)
-    more = staged(more.unionByName(meet_crowds(demands, labels, sizes, texts, size, percent)), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    of = classes.select("id", "doc").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
-    least = of.groupBy("component").agg(F.min("doc").alias("component_id"))
-    out = own.join(of.join(least, "component").select("id", "component_id", F.lit(True).alias("_known")), "id", "left")
+        demands = staged(demands.select("id", "component"), "demands")
+        pairs, blocks = meet_wide(at, near, torn, texts, size, percent)
+        more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent).unionByName(blocks)
+        more = staged(more.unionByName(meet_crowds(demands, labels, sizes, texts, size, percent)), "links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+        of = classes.select("id", "doc").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
+        least = of.groupBy("component").agg(F.min("doc").alias("component_id"))
+        named = staged(of.join(least, "component").select("id", "component_id", F.lit(True).alias("_known")), "named", lasting=True)
+    out = own.join(named, "id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

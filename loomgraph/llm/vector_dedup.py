@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged, staged_as
+from .common import drop_staged, scratch, staged, staged_as
 from .components import components
 from .runs import bounds, runs
 
@@ -346,34 +346,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     their own. A row without a vec_id has the component of its links, null if
     no vector there has one. Other columns are not read.
     """
-    own = staged(prepared(vectors), "vectors")
-    usable = own.filter("space is not null")
-    grouped = usable.groupBy("space", "name").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("small").alias("small"))
-    classes = staged(grouped.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
-    edges = labels = None
-    for attempt in range(TRIES):
-        new = orders(classes, attempt).withColumn("old", F.lit(False))
-        edges, edges_at = staged_as(nearest(new if edges is None else edges.unionByName(new), labels), "lists")
-        before = -1
-        while True:
-            links = staged(confirmed(edges, classes, threshold), "links")
-            labels = components(links)
-            joined = labels.filter("node <> component").count()
-            if joined == before:
+    with scratch():
+        own = staged(prepared(vectors), "vectors")
+        usable = own.filter("space is not null")
+        grouped = usable.groupBy("space", "name").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"), F.first("small").alias("small"))
+        classes = staged(grouped.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
+        edges = labels = None
+        for attempt in range(TRIES):
+            new = orders(classes, attempt).withColumn("old", F.lit(False))
+            edges, edges_at = staged_as(nearest(new if edges is None else edges.unionByName(new), labels), "lists")
+            before = -1
+            while True:
+                links = staged(confirmed(edges, classes, threshold), "links")
+                labels = components(links)
+                joined = labels.filter("node <> component").count()
+                if joined == before:
+                    break
+                before = joined
+                made = refine(edges, classes).withColumn("old", F.lit(False))
+                last_at = edges_at
+                edges, edges_at = staged_as(nearest(edges.withColumn("old", F.lit(True)).unionByName(made), labels), "lists")
+                drop_staged(last_at)
+            if audit(classes, labels, threshold) >= RECALL:
                 break
-            before = joined
-            made = refine(edges, classes).withColumn("old", F.lit(False))
-            last_at = edges_at
-            edges, edges_at = staged_as(nearest(edges.withColumn("old", F.lit(True)).unionByName(made), labels), "lists")
-            drop_staged(last_at)
-        if audit(classes, labels, threshold) >= RECALL:
-            break
-    else:
-        labels = components(staged(links.unionByName(compared(classes, labels, threshold)), "links"))
-    n = staged(counted(classes, labels, threshold), "counts")
-    known = classes.select("space", "name", "rep", "least", "copies").join(labels.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = staged(known.join(n, "rep", "left").select("space", "name", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
-    named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("space", "name", "n_links", "component_id", F.lit(True).alias("_known"))
-    out = own.select("vec_id", "space", "name").join(named, ["space", "name"], "left")
+        else:
+            labels = components(staged(links.unionByName(compared(classes, labels, threshold)), "links"))
+        n = staged(counted(classes, labels, threshold), "counts")
+        known = classes.select("space", "name", "rep", "least", "copies").join(labels.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        known = staged(known.join(n, "rep", "left").select("space", "name", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+        named = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+        named = staged(named.select("space", "name", "n_links", "component_id", F.lit(True).alias("_known")), "named", lasting=True)
+        own = staged(own.select("vec_id", "space", "name"), "names", lasting=True)
+    out = own.join(named, ["space", "name"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import near_dedup, packing, quality_rules, secret_scan, suffix_dedup
-from loomgraph.llm.common import staged, table
+from loomgraph.llm.common import drop_staged, scratch, staged_as, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, at = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch():  # what the stage wrote on its way goes once its result is written
+            docs, new = staged_as(stage(spark, docs, sf_dir), name.replace(" ", "_"), lasting=True)
+        if at:
+            drop_staged(at)
+        at = new
     return STAGES[-1][1](spark, docs, sf_dir)

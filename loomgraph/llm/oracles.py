@@ -103,8 +103,8 @@ w AS (SELECT doc_id, i, substr(h, 2 * i + 1, {2 * n}) AS s FROM (SELECT doc_id,
 m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
 g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {n} THEN 0 ELSE 1 END AS new FROM m),
 r AS (SELECT doc_id, k, min(i) AS a, max(i) + {n} AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
-k AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, 0, 0 FROM d)),
-x AS (SELECT d.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT doc_id, b AS since, lead(a) OVER (PARTITION BY doc_id ORDER BY a, b) AS upto FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, 0, 0 FROM d)),
+x AS (SELECT d.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (coalesce(upto, len(h) // 2) - since)), '' ORDER BY since) AS kept FROM k JOIN d USING (doc_id) GROUP BY d.doc_id),
 c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed FROM r GROUP BY doc_id)
 SELECT d.doc_id, strlen(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x.kept)) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)"""
 

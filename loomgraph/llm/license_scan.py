@@ -151,7 +151,6 @@ def postings(templates: tuple[Template, ...], rank: dict[str, int], threshold: f
     return out
 
 
-POSTING = "token int, template int, label string, t_words array<int>, must array<int>, never array<int>, least int, reach int, place int"
 #: SQL: the template's words within a block's reach of a prefix word at place p.
 _NEAR = "filter(_hits, h -> h.i > p - reach and h.i < p + reach and (array_contains(t_words, h.r) or array_contains(never, h.r)))"
 #: SQL: of the blocks that hold place p and start at a template word, the greatest (overlap, -start); null if none counts.
@@ -166,7 +165,9 @@ def candidates(tokens: DataFrame, templates: tuple[Template, ...], threshold: fl
     """Places of prefix words with their template that pass the length and the positional filter; _near holds the template's words around each."""
     order = F.array(*(F.lit(w) for w in sorted(rank, key=rank.get)))
     hits = F.filter(F.transform("_kept", lambda w, i: F.struct(i.alias("i"), (F.array_position(order, w) - 1).cast("int").alias("r"))), lambda h: h.r >= 0)
-    fixed = tokens.sparkSession.createDataFrame(postings(templates, rank, threshold), POSTING)
+    literal = lambda x: F.array(*map(F.lit, x)).cast("array<int>") if isinstance(x, list) else F.lit(x)
+    rows = [F.struct(*(literal(x).alias(k) for k, x in row.items())) for row in postings(templates, rank, threshold)]
+    fixed = tokens.sparkSession.range(1).select(F.inline(F.array(*rows)))
     found = tokens.filter("_kept is not null").select("_row", "doc_id", hits.alias("_hits"))
     prefix = sorted({x["token"] for x in postings(templates, rank, threshold)})
     at = found.select("_row", "doc_id", "_hits", F.explode(F.filter("_hits", lambda h: F.array_contains(F.array(*map(F.lit, prefix)), h.r))).alias("_at"))

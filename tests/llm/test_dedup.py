@@ -188,6 +188,18 @@ def test_repeats_where_hashes_are_shared_and_seeds_are_split(docs, monkeypatch,
     assert {r.doc_id: r.kept_sha256 for r in suffix_dedup.digest(docs).collect()} == {i: w[3] for i, w in enumerate(want)}
 
 
+def test_repeats_of_a_table_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ENTRIES", 5_000)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 50_000)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 19)
+    monkeypatch.setattr(suffix_dedup, "HOT", 40)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    rows = docs.collect()
+    want = removed([r.text for r in rows], 50)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(docs.repartition(6)).collect()}
+    assert got == {r.doc_id: w[:4] for r, w in zip(rows, want, strict=True)}
+
+
 def test_stretches_hold_each_window_once(monkeypatch):
     random.seed(12)
     sizes = [0, 49, 50, 51, 400, 3000, 90, 1200]

@@ -114,6 +114,30 @@ def test_balls(spark):
     assert all(abs(a.n - b.n) < 0.2 * b.n for a, b in zip(about, got, strict=True))
 
 
+def test_balls_of_blocks_hold_no_pairs(spark, monkeypatch):
+    random.seed(11)
+    n, edges = 300, [(random.randrange(290), random.randrange(290)) for _ in range(500)]
+    g = graph(spark, n, edges)
+    reach = [{k: {k} for k in range(n)}]
+    while len(reach) < 2 or reach[-1] != reach[-2]:
+        reach.append({k: x | set().union(*(reach[-1][a] for a, b in edges if b == k)) for k, x in reach[-1].items()})
+    series = [(t, sum(map(len, x.values()))) for t, x in enumerate(reach[:-1])]
+    rows = []
+    kept = balls.cut
+    monkeypatch.setattr(balls, "cut", lambda df: (out := kept(df), rows.append(out.count()))[0])
+    monkeypatch.setattr(balls, "SOURCES", 64)
+    monkeypatch.setattr(balls, "TASKS", 2)
+    monkeypatch.setattr(balls, "STEP", 7)
+    got = balls.hyperanf_exact(g, run_to_completion=True).collect()
+    assert [(r.t, r.n) for r in got] == series
+    best = max(range(n), key=lambda k: (len(reach[-1][k]), -k))
+    assert (got[0].seed, got[0].seed_reach) == (best, len(reach[-1][best]))
+    assert max(rows) <= n + len(series) < series[-1][1]
+    short = balls.hyperanf_exact(g, epsilon=0.2).collect()
+    last = next(t for t in range(1, len(series)) if series[t][1] - series[t - 1][1] < 0.2 * series[t][1])
+    assert [(r.t, r.n) for r in short] == series[: last + 1] and short[0].seed_reach == max(map(len, reach[last].values()))
+
+
 def test_centrality(spark):
     assert table(centrality.bc(graph(spark, *DIAMOND)), "vertex", "centrality") == {0: 3.0, 1: 0.5, 2: 0.5, 3: 0.0}
     assert tuple(centrality.bc_best(centrality.bc(graph(spark, *DIAMOND))).first()) == (1, 0.5)

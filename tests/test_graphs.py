@@ -106,6 +106,49 @@ def test_sets(spark):
     assert 3.5 < about < 6.5
 
 
+def written(spark, run):
+    """What run returns, and the records that shuffles wrote on the way."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    seen = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (all_.apply(k) for all_ in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for k in range(all_.size()))}
+    before = seen()
+    out = run()
+    return out, sum(n for k, n in seen().items() if k not in before)
+
+
+def test_triangles_move_lists_not_paths(spark, monkeypatch):
+    random.seed(7)
+    n = 120
+    pairs = {(a, b) for a in range(n) for b in range(a) if random.random() < 0.6}
+    g = graph(spark, n, list(pairs))
+    near = {k: {a for p in pairs if k in p for a in p if a != k} for k in range(n)}
+    want = {k: sum(len(near[k] & near[b]) for b in near[k]) // 2 for k in range(n)}
+    monkeypatch.setattr(sets, "HELD", 1000)
+    monkeypatch.setattr(sets, "AT_ONCE", 500)
+    got, moved = written(spark, lambda: table(sets.triangles(g), "vertex", "triangles"))
+    assert got == want
+    assert moved < 20 * len(pairs)  # paths of two edges are 22 times the edges
+
+
+def test_minhash_moves_minima_once_a_block(spark, monkeypatch):
+    random.seed(8)
+    n = 90
+    pairs = sorted({(a, b) for a in range(n) for b in range(a) if random.random() < 0.5})
+    g = graph(spark, n, pairs)
+    monkeypatch.setattr(sets, "MINIMA", 5000)
+    got, moved = written(spark, lambda: table(sets.triangles_minhash(g, 60), "vertex", "triangles"))
+    e = g.simple().edges
+    minima = {r.src: r.m for r in e.groupBy("src").agg(F.array(*(F.min(F.xxhash64(F.lit(0xDEADBEEF + t), F.lit(t), F.col("dst"))) for t in range(60))).alias("m")).collect()}
+    near = {k: sum(k in p for p in pairs) for k in range(n)}
+    want = dict.fromkeys(range(n), 0.0)
+    for a, b in pairs:
+        z = sum(x == y for x, y in zip(minima[a], minima[b], strict=True))
+        for k in (a, b):
+            want[k] += z / (z + 60) * (near[a] + near[b]) / 2
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in range(n))
+    assert sets.triangles_minhash(g, 0).filter("triangles is not null").isEmpty()
+    assert moved < 8 * len(pairs)
+
+
 def test_balls(spark):
     got = balls.hyperanf_exact(graph(spark, *PATH), run_to_completion=True).collect()
     assert [(r.t, r.n) for r in got] == [(0, 5), (1, 9), (2, 12), (3, 14), (4, 15)]

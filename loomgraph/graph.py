@@ -34,7 +34,8 @@ class Graph:
 
     def both_ways(self) -> Graph:
         """Each edge and its reverse, with the same weight."""
-        return replace(self, edges=self.edges.unionByName(self.reverse().edges))
+        ends = [F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "weight") for a, b in (("src", "dst"), ("dst", "src"))]
+        return replace(self, edges=self.edges.select(F.inline(F.array(*ends))))
 
     def simple(self) -> Graph:
         """Undirected without loops and parallel edges: both directions of each pair, with its least weight."""

@@ -64,12 +64,19 @@ def _estimate_bits(df: DataFrame) -> int:
     return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, with its lineage cut."""
+def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
+    """df computed once, with its lineage cut; dealt: how it is dealt out and sorted stays known."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     if _estimate_bits(df) <= LONGEST:
-        return df.checkpoint(eager=True)
+        adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+        if not dealt or adaptive != "true":
+            return df.checkpoint(eager=True)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan that adapts doesn't tell a checkpoint its partitioning
+        try:
+            return df.checkpoint(eager=True)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     if not _written:
         atexit.register(_clean)
     path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"

@@ -92,7 +92,8 @@ def _estimates(spark: SparkSession, d: str) -> DataFrame:
     counted = sets.triangles_total(sets.triangles(flow)).crossJoin(sets.triangles_total(sets.triangles_minhash(flow)).toDF("_n"))
     rated = fixtures.ratings(spark, d)
     mean = rated.edges.filter("src < dst").agg(F.stddev_pop("weight").alias("spread"))
-    fitted = factors.als_rmse(rated, factors.als(rated)).crossJoin(mean)
+    met = factors.dealt(rated)
+    fitted = factors.als_rmse(met, factors.als(met)).crossJoin(mean)
     return (
         near.select(F.lit("hyperanf").alias("name"), "within")
         .unionByName(counted.select(F.lit("triangles").alias("name"), (F.abs(F.col("_n") / F.col("triangles") - 1) < 0.5).alias("within")))
@@ -175,7 +176,7 @@ def queries() -> dict[str, Query]:
         "bc_best": lambda s, d: rounded(centrality.bc_best(centrality.bc(buy(s, d))), "centrality", places=4),
         "belief_propagation": lambda s, d: rounded(belief.belief_propagation(beliefs(s, d)), "b0", "b1"),
         "belief_propagation_graphchi": lambda s, d: rounded(belief.belief_propagation_graphchi(buy(s, d)), "belief0"),
-        "als": lambda s, d: factors.als_rmse(g := rate(s, d), factors.als(g)),
+        "als": lambda s, d: factors.als_rmse(g := factors.dealt(rate(s, d)), factors.als(g)),
         "als_async": lambda s, d: factors.als(rate(s, d)),
         "program_bfs": _program_bfs,
         "program_pagerank": _program_pagerank,

@@ -231,6 +231,25 @@ def test_als_is_plain_least_squares(spark):
     assert row.ratings == len(some) and abs(row.rmse - np.sqrt(np.mean([(r - u[i] @ v[j]) ** 2 for i, j, r in some]))) < 1e-9
 
 
+def test_als_moves_factors_once_a_block(spark, monkeypatch):
+    edges = [(i, 60 + j, float(1 + (i * j) % 5)) for i in range(60) for j in range(50) if i == 0 or (i + j) % 3]
+    g = graph(spark, 110, two_way(edges))
+    whole = factors.als(g, 2)
+    want = table(whole, "vertex", "factor")
+    error = factors.als_rmse(g, whole).first()
+    monkeypatch.setattr(factors, "HELD", 400)
+    got, moved = written(spark, lambda: table(factors.als(met := factors.dealt(g), 6), "vertex", "factor") and met)
+    assert got.edges.select("block").distinct().count() > 3 and got.edges.count() == len(edges)
+    assert moved < 6 * len(edges)  # a row a rating each half-round would be twelve times
+    monkeypatch.setattr(factors, "HELD", 20)  # now vertices are cut into parts
+    assert got.edges.select("part").distinct().count() < factors.dealt(g).edges.select("part").distinct().count()
+    parted = factors.als(g, 2)
+    assert all(np.allclose(x, want[k], atol=1e-9) for k, x in table(parted, "vertex", "factor").items())
+    row = factors.als_rmse(g, parted).first()
+    assert row.ratings == error.ratings == len(edges) and abs(row.rmse - error.rmse) < 1e-9
+    assert factors.als(graph(spark, *EMPTY)).count() == 0 and factors.als_rmse(graph(spark, *EMPTY), whole).first().ratings == 0
+
+
 def test_spanning_forest_of_a_long_path(spark):
     n = 300  # each round halves it: many rounds and jumps
     edges = two_way([(k, k + 1, (k * 7919) % 101 + 1) for k in range(n - 1)] + [(0, n - 1, 1000)])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph, from_edges
+from .plans.loop import tasks
 
 
 def consecutive(events: DataFrame, bucket: str = "hour") -> DataFrame:
@@ -46,7 +47,8 @@ def _trade(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
 
 def ratings(spark: SparkSession, d: str) -> Graph:
     lines, parts, suppliers = _trade(spark, d)
-    mean = lines.groupBy("l_partkey", "l_suppkey").agg(F.avg("l_quantity").alias("weight"))
+    dealt = lines.repartition(tasks(lines), "l_partkey", "l_suppkey")  # else a task's groups grow with the table
+    mean = dealt.groupBy("l_partkey", "l_suppkey").agg(F.avg("l_quantity").alias("weight"))
     return from_edges(mean.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + parts).alias("dst"), "weight"), parts + suppliers).both_ways()
 
 

@@ -31,7 +31,7 @@ def least_reaching(edges: Dealt, labels: DataFrame) -> DataFrame:
 def cc(graph: Graph, symmetrize: bool = False) -> DataFrame:
     """vertex and component, the least vertex that reaches it; on a symmetric graph (or with symmetrize) the connected component."""
     g = graph.both_ways() if symmetrize else graph
-    edges = Dealt(g.edges.filter("src <> dst").select("src", "dst").distinct())
+    edges = Dealt(g.edges.filter("src <> dst").select("src", "dst"), distinct=True)
     return least_reaching(edges, g.vertices.select("id", F.col("id").alias("component"))).withColumnRenamed("id", "vertex")
 
 

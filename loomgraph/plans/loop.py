@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Out-edges of a vertex, up to which they stay in one task.
 HUB = 1 << 20
+#: Rows of a partition that is dealt out.
+ROWS = 1 << 20
 #: Bits of an estimated size from which a state is written as a table.
 LONGEST = 1024
 _written: list[tuple[SparkSession, str]] = []
@@ -85,9 +87,15 @@ def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by(df: DataFrame, key: str) -> DataFrame:
-    """df dealt out by key, once, for all rounds of a loop."""
-    return cut(df.repartition(key))
+def tasks(df: DataFrame) -> int:
+    """Partitions for df, so that what a task holds doesn't grow with it; the session's number at least. It counts the rows of what isn't computed yet, too."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
+
+
+def by(df: DataFrame, key: str, distinct: bool = False) -> DataFrame:
+    """df dealt out and sorted by key, once, for all rounds of a loop; distinct: each row once, found in place."""
+    out = df.repartition(tasks(df), key)
+    return cut((out.distinct() if distinct else out).sortWithinPartitions(key), dealt=True)
 
 
 class Dealt:
@@ -98,14 +106,15 @@ class Dealt:
     are cut into parts by dst, and only a hub's row is copied to its parts.
     """
 
-    def __init__(self, edges: DataFrame):
-        degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HUB)
+    def __init__(self, edges: DataFrame, distinct: bool = False):
+        dealt = by(edges, "src", distinct)
+        degree = dealt.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HUB)
         self.hubs: DataFrame | None = cut(degree.select("src", F.ceil(F.col("_n") / HUB).alias("_parts")))
         if self.hubs.isEmpty():
-            self.hubs, self.edges = None, by(edges, "src")
+            self.hubs, self.edges = None, dealt
         else:
-            parted = edges.join(self.hubs, "src", "left").withColumn("_part", F.pmod(F.xxhash64("dst"), F.coalesce("_parts", F.lit(1))))
-            self.edges = cut(parted.drop("_parts").repartition("src", "_part"))
+            parted = dealt.join(self.hubs, "src", "left").withColumn("_part", F.pmod(F.xxhash64("dst"), F.coalesce("_parts", F.lit(1))))
+            self.edges = cut(parted.drop("_parts").repartition(tasks(dealt), "src", "_part").sortWithinPartitions("src", "_part"), dealt=True)
 
     def met(self, rows: DataFrame) -> DataFrame:
         """The edges with the columns of rows (src, …), where src has a row."""

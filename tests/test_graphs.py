@@ -275,6 +275,27 @@ def test_hubs_are_cut_into_parts(spark, monkeypatch):
     assert asked() == want
 
 
+def test_tasks_of_a_loop_dont_grow(spark, monkeypatch, tmp_path):
+    from loomgraph import fixtures
+    from loomgraph.streaming import feeder
+
+    monkeypatch.setattr(loop, "ROWS", 50)
+    monkeypatch.setattr(feeder, "ROWS", 50)
+    edges = [(a, b) for a in range(40) for b in range(a % 7, 40, 3)]
+    g = graph(spark, 40, two_way(edges) * 2)
+    dealt = loop.Dealt(g.edges.select("src", "dst"), distinct=True)
+    assert dealt.edges.count() == len(set(two_way(edges))) and dealt.edges.rdd.getNumPartitions() >= 4 * len(edges) // 50
+    assert components.cc_count(components.cc(g)).first()[0] == 1
+    at = f"file://{tmp_path}"
+    files = feeder.feed(g.edges, f"{at}/edges")
+    assert files == -(-g.edges.count() // 200) and len(spark.read.parquet(f"{at}/edges").inputFiles()) > 8
+    assert feeder.stream(spark, f"{at}/edges", files).isStreaming
+    spark.range(500).selectExpr("id % 50 as l_partkey", "id % 9 as l_suppkey", "1.0d as l_quantity").write.parquet(f"{at}/lineitem.parquet")
+    spark.range(50).write.parquet(f"{at}/part.parquet")
+    spark.range(9).write.parquet(f"{at}/supplier.parquet")
+    assert fixtures.ratings(spark, at).edges.rdd.getNumPartitions() == 10
+
+
 def random_graph(seed):
     random.seed(seed)
     n = random.randint(2, 12)

@@ -34,8 +34,8 @@ def _online(g: Graph, o: argparse.Namespace) -> Made:
     spark = g.spark
     checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    feeder.feed(g.edges, f"{at}/edges", o.batches)
-    online_cc.online_cc(feeder.stream(spark, f"{at}/edges"), f"{at}/labels", g.num_vertices).trigger(availableNow=True).start().awaitTermination()
+    files = feeder.feed(g.edges, f"{at}/edges", o.batches)
+    online_cc.online_cc(feeder.stream(spark, f"{at}/edges", files), f"{at}/labels", g.num_vertices).trigger(availableNow=True).start().awaitTermination()
     out = online_cc.labels(spark, f"{at}/labels", g.num_vertices)
     return out, components.cc_count(out)
 

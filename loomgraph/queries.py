@@ -32,8 +32,8 @@ def _cc_online(spark: SparkSession, d: str) -> DataFrame:
     """The ratings' edges as a stream of four files, then the labels."""
     g = fixtures.ratings(spark, d)
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    feeder.feed(g.edges, f"{at}/edges")
-    query = online_cc.online_cc(feeder.stream(spark, f"{at}/edges"), f"{at}/labels", g.num_vertices).trigger(availableNow=True).start()
+    files = feeder.feed(g.edges, f"{at}/edges")
+    query = online_cc.online_cc(feeder.stream(spark, f"{at}/edges", files), f"{at}/labels", g.num_vertices).trigger(availableNow=True).start()
     query.awaitTermination()
     return online_cc.labels(spark, f"{at}/labels", g.num_vertices)
 

@@ -1,4 +1,4 @@
-"""Feeds a graph's edges to a stream: files in a folder, one a micro-batch."""
+"""Feeds a graph's edges to a stream: files in a folder, some a micro-batch."""
 
 from __future__ import annotations
 
@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 SCHEMA = "src long, dst long"
 
 
-def feed(edges: DataFrame, folder: str, batches: int = 4) -> None:
-    """Writes the edges as up to `batches` files; both directions of a pair are in one."""
-    part = F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(batches))
-    edges.select("src", "dst").repartition(batches, part).write.parquet(folder)
+#: Edges of a file.
+ROWS = 1 << 20
 
 
-def stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The folder's edges as a stream, a file a micro-batch."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+def feed(edges: DataFrame, folder: str, batches: int = 4) -> int:
+    """Writes the edges as files for up to `batches` micro-batches; returns how many files are one, so that none grows with the edges."""
+    files = max(1, -(-edges.count() // (batches * ROWS)))
+    part = F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(batches * files))
+    edges.select("src", "dst").repartition(batches * files, part).write.parquet(folder)
+    return files
+
+
+def stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """The folder's edges as a stream, so many files a micro-batch."""
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(folder)

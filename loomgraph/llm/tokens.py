@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from itertools import compress
 from unicodedata import is_normalized
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 750_000
 LONGEST = 48
+#: Parts of words in a string that the model gets at once.
+PARTS = 512
 #: Characters of text that are looked up at once.
 AT_ONCE = 1 << 21
 _loaded: dict[tuple, object] = {}
@@ -52,10 +55,11 @@ class WordCache:
     def _some(self, texts: list[str | None]) -> Iterator[bytes]:
         cut = [self.cut(t) if t else () for t in texts]
         words = set().union(*cut)
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        known = self.known
-        fresh = list(words.difference(known))
+        known, fresh = self.known, words.difference(self.known)
+        if len(known) + len(fresh) > self.limit:
+            known.clear()
+            fresh = words
+        fresh = list(fresh)
         known.update(zip(fresh, self.encode(fresh), strict=True))
         get = known.__getitem__
         for own in cut:
@@ -88,43 +92,56 @@ def word_bpe(path: str) -> WordCache:
     """Ids as little-endian 4-byte numbers, by a tokenizers file whose normalizer composes and lower-cases and whose pre-tokenizer parts letters from signs and drops white space.
 
     A new word of Latin letters with signs after it goes to the model straight
-    away, in two parts; any other word goes through the whole tokenizer.
+    away, in two parts, many at once; any other word goes through the whole
+    tokenizer. The letters' ids are kept apart, since the same letters stand
+    before many signs.
     """
 
     def make() -> WordCache:
-        from array import array
-
-        from tokenizers import Tokenizer
+        import numpy as np
+        from tokenizers import Tokenizer, pre_tokenizers
 
         t = Tokenizer.from_file(path)
         fast = getattr(t, "encode_batch_fast", t.encode_batch)
-        model, letters = t.model.tokenize, byte_letters()
+        parts = Tokenizer(t.model)
+        parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        fast_parts = getattr(parts, "encode_batch_fast", parts.encode_batch)
+        suffix, letters = t.model.end_of_word_suffix, byte_letters()
+        last = np.zeros(t.get_vocab_size(), bool)  # ids that end a part
+        last[[i for x, i in t.get_vocab().items() if x.endswith(suffix)]] = True
         tails: dict[str, bytes] = {"": b""}
-
-        def ids(word: str) -> bytes:
-            spelled = word if word.isascii() else "".join([letters[b] for b in word.encode()])
-            return array("I", [x.id for x in model(spelled)]).tobytes()
+        cores: dict[str, bytes] = {}
+
+        def ids(some: list[str]) -> Iterator[bytes]:
+            spelled = [x if x.isascii() else "".join([letters[b] for b in x.encode()]) for x in some]
+            for e in fast_parts([" ".join(spelled[i : i + PARTS]) for i in range(0, len(spelled), PARTS)], add_special_tokens=False):
+                own = np.array(e.ids, "<u4")
+                raw, at = own.tobytes(), 0
+                for end in (4 * np.flatnonzero(last[own]) + 4).tolist():
+                    yield raw[at:end]
+                    at = end
+
+        def learn(known: dict[str, bytes], some: set[str], limit: int) -> list[str]:
+            """Those learnt that are too long to be kept."""
+            fresh = some.difference(known)
+            if len(known) + len(fresh) > limit:
+                known.clear()
+                fresh = some
+            fresh = list(fresh)
+            known.update(zip(fresh, ids(fresh), strict=True))
+            return [x for x in fresh if len(x) > LONGEST]
 
         def encode(words: list[str]) -> list[bytes | None]:
-            out: list[bytes | None] = []
-            other: list[int] = []
-            cores: dict[str, bytes] = {}
-            for i, w in enumerate(words):
-                core = w.rstrip(_TAILS)
-                if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and is_normalized("NFC", core))) and core == core.lower():
-                    tail = w[len(core) :]
-                    if tail not in tails:
-                        if len(tails) > 10_000:
-                            tails.clear()
-                        tails[tail] = ids(tail) if tail else b""
-                    if core not in cores:
-                        cores[core] = ids(core)
-                    out.append(cores[core] + tails[tail])
-                else:
-                    other.append(i)
-                    out.append(None)
-            for i, e in zip(other, fast([words[i] for i in other], add_special_tokens=False), strict=True):
-                out[i] = array("I", e.ids).tobytes()
+            bare = [w.rstrip(_TAILS) for w in words]
+            plain = [core.isalpha() and (core.isascii() or (max(core) < "\u0250" and is_normalized("NFC", core))) and core == core.lower() for core in bare]
+            signs = [w[len(core) :] for w, core in zip(words, bare, strict=True)]
+            long = learn(tails, set(compress(signs, plain)) - {""}, 10_000), learn(cores, set(compress(bare, plain)), CACHED_WORDS)
+            tails[""] = b""
+            rest = iter(fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+            out = [cores[core] + tails[tail] if p else np.array(next(rest).ids, "<u4").tobytes() for core, tail, p in zip(bare, signs, plain, strict=True)]
+            for known, some in zip((tails, cores), long, strict=True):
+                for x in some:
+                    del known[x]
             return out
 
         return WordCache(lambda text: lowered(text).replace("\n", " ").split(" "), encode)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomgraph.llm import packing, pieces, token_counts
+from loomgraph.llm import packing, pieces, token_counts, tokens
 
 EDGE = [None, "", " ", "a", "  Two  blanks \n\n", "日本語 текст 😀 \x01 ﷽", "a" * 5000, "word " * 9000, "▁mark ▁", "<|endoftext|> </w> <0x41>", "é é İ ΑΣ ß", "x　y z\tq\x1cr"]
 
@@ -166,3 +166,29 @@ def test_fill_is_the_best_by_brute_force():
     made = packing.plan({5: 1000, 7: 333, 32: 4, 31: 2}, 32)
     assert made.sequences * 32 - made.padding == 1000 * 5 + 333 * 7 + 4 * 32 + 2 * 31
     assert made.padding < 0.03 * 32 * made.sequences
+
+
+def test_known_words_are_not_encoded_again():
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [w.encode() for w in words]
+
+    cache = tokens.WordCache(str.split, encode, limit=4)
+    for _ in range(3):
+        assert list(cache(["a b", None, "c a"])) == [b"ab", b"", b"ca"]
+    assert sorted(asked) == ["a", "b", "c"]  # what is known already doesn't count against the limit
+    assert list(cache(["d e f a"])) == [b"defa"] and len(cache.known) == 4
+
+
+def test_letters_before_other_signs_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    encode = tokens.word_bpe(packing.tokenizer_path())
+    words = ["étéonwh", "étéonwh,%%%", "a" * 60, "a" * 60 + "." * 60, "###", "x1y", "oneinst***", "oneinst.", "ŉa", "ǅx"]
+    for _ in range(2):
+        for w, got in zip(words, encode(words), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(w, add_special_tokens=False).ids, w
+    assert not any(len(w) > tokens.LONGEST for w in encode.known)

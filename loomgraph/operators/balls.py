@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import Dealt, by, cut
+from ..plans.loop import Dealt, by, cut, drop
 
 Series = list[tuple[int, float]]
 
@@ -132,7 +132,8 @@ def hyperanf(graph: Graph, maxiters: int = 100, epsilon: float = 0.001, rsd: flo
         met = state.select("id", "ball").join(got, "id", "left")
         new = F.when(F.col("_got").isNull(), F.col("ball")).otherwise(F.hll_union("ball", "_got"))
         grown = met.withColumn("_new", new)
-        state = cut(grown.select("id", F.col("_new").alias("ball"), (F.hll_sketch_estimate("_new") > F.hll_sketch_estimate("ball")).alias("_active")))
+        last, state = state, cut(grown.select("id", F.col("_new").alias("ball"), (F.hll_sketch_estimate("_new") > F.hll_sketch_estimate("ball")).alias("_active")))
+        drop(last)
         before, n = n, total()
         if n == before:
             break

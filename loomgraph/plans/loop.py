@@ -13,8 +13,11 @@ back, which has its true size.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,9 @@ HUB = 1 << 20
 ROWS = 1 << 20
 #: Bits of an estimated size from which a state is written as a table.
 LONGEST = 1024
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
+_passing: contextvars.ContextVar[list[tuple[SparkSession, str]] | None] = contextvars.ContextVar("passing", default=None)
 
 
 class NotConverged(RuntimeError):
@@ -66,6 +71,37 @@ def _estimate_bits(df: DataFrame) -> int:
     return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is cut within goes at the end, and shuffle files go once they are read; nothing made within may be read after."""
+    before, own = spark.conf.get(_CLEANUP, None), []
+    token = _passing.set(own)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for pair in own:
+            _delete(*pair)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what cut wrote for df within passing(), where nothing reads it any more; else it stays until the driver collects its garbage."""
+    own, path = _passing.get(), getattr(df, "_cut_to", None)
+    for pair in [p for p in own or () if p[1] == path]:
+        _delete(*pair)
+        own.remove(pair)
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    out, own = df.checkpoint(eager=True), _passing.get()
+    if own is not None:
+        out._cut_to = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+        own.append((df.sparkSession, out._cut_to))
+    return out
+
+
 def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     """df computed once, with its lineage cut; dealt: how it is dealt out and sorted stays known."""
     spark = df.sparkSession
@@ -73,10 +109,10 @@ def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     if _estimate_bits(df) <= LONGEST:
         adaptive = spark.conf.get("spark.sql.adaptive.enabled")
         if not dealt or adaptive != "true":
-            return df.checkpoint(eager=True)
+            return _checkpoint(df)
         spark.conf.set("spark.sql.adaptive.enabled", "false")  # a plan that adapts doesn't tell a checkpoint its partitioning
         try:
-            return df.checkpoint(eager=True)
+            return _checkpoint(df)
         finally:
             spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     if not _written:
@@ -84,7 +120,11 @@ def cut(df: DataFrame, dealt: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out, own = spark.read.schema(df.schema).parquet(path), _passing.get()
+    if own is not None:
+        out._cut_to = path
+        own.append((spark, path))
+    return out
 
 
 def tasks(df: DataFrame) -> int:

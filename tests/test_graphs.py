@@ -349,3 +349,23 @@ def test_aggregates(spark):
     assert {r.k: (r.b.d, r.b.n) for r in df.groupBy("k").agg(least_by("d", "n").alias("b")).collect()} == {1: (1.0, 3), 2: (4.0, 1)}
     assert {r.k: (r.d, r.total) for r in sum_at_least(df, "k", "d", "n").collect()} == {1: (1.0, 10), 2: (4.0, 1)}
     assert df.agg(greatest_by("n", "d", "k").alias("x"), any_of(df.n > 6).alias("y")).first()[:] == (1, True)
+
+
+def test_what_a_part_cuts_goes_at_its_end(spark):
+    from pathlib import Path
+
+    loop.checkpoint_dir(spark)
+    at = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    files = lambda: {p for p in at.rglob("part-*")}
+    before = files()
+    with loop.passing(spark):
+        g = graph(spark, *CLIQUES)
+        one = loop.cut(g.edges.select("src", "dst"))
+        assert files() > before
+        loop.drop(one)
+        assert files() == before
+        assert balls.hyperanf(g, run_to_completion=True).count() > 1
+        assert factors.als(factors.dealt(g), niters=2).count() > 0
+        assert files() > before
+    assert files() == before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"

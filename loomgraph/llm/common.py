@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a few numbers in a file of a staged table, at most about.
+NUMBERS = 1 << 20
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 _staged: list[tuple[SparkSession, str]] = []
@@ -74,6 +77,11 @@ def scratch() -> Iterator[None]:
             drop_staged(path)
 
 
+def gathered(df: DataFrame, rows: int, each: int = NUMBERS, tasks: int = 1) -> DataFrame:
+    """df in as many partitions as `rows`, at most about its own, make with `each` of them, and in `tasks` for each core at least; never in more than it has. Where few rows come out of many partitions, each partition would be written as a file, for which Hadoop starts three processes on a local disk."""
+    return df.coalesce(max(tasks * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and lost executors cost only a read. It stays until its scope or, without one, the process ends."""
     return staged_as(df, name, lasting)[0]

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import scratch, staged
+from .common import NUMBERS, gathered, scratch, staged
 from .components import components
 from .runs import runs
 
@@ -53,6 +53,8 @@ CROWD, BLOCK = 16, 128
 PAIRED, WIDE, COLUMNS = 32, 256, 4096
 #: Counters that tell rare shingles from frequent ones, and rows of the orders in a task, at most about.
 SLOTS, ROWS = 1 << 18, 1 << 21
+#: Of staged tables whose rows cost more than a few numbers: texts in a file, and pairs or texts compared in a task, at most about; and such tasks for each core, at least.
+TEXTS, COMPARED, TASKS = 1 << 12, 1 << 10, 4
 _RANDOM = np.random.default_rng(77)
 _TIMES = _RANDOM.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -330,7 +332,8 @@ def meet_wide(at: DataFrame, near: int, torn: DataFrame, texts: DataFrame, size:
             sets = [shingles.shingle_set(data[a:b], size).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "component", "shingles"])
 
-    sets = staged(some.join(texts.hint("merge"), "id").select("id", "component", "text").mapInArrow(shingled, "id long, component long, shingles binary"), "sets")
+    held = some.join(texts.hint("merge"), "id").select("id", "component", "text").mapInArrow(shingled, "id long, component long, shingles binary")
+    sets = staged(gathered(held, texts.count(), TEXTS, TASKS), "sets")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -360,7 +363,7 @@ def meet_wide(at: DataFrame, near: int, torn: DataFrame, texts: DataFrame, size:
 
     rows = staged(sets.mapInArrow(prefixes, "shingle long, id long, component long, n long, place long"), "prefixes")
     met = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_n > 1 and _low <> _high")
-    cut = staged(rows.join(met.select("shingle", "_n"), "shingle"), "shared")
+    cut = staged(gathered(rows.join(met.select("shingle", "_n"), "shingle"), rows.count()), "shared")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 1):
@@ -421,32 +424,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         sigs = staged(signatures(docs, size), "signatures")
         one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("of")
         classes = sigs.filter("n_shingles > 0").groupBy(*name).agg(one, F.first("sig").alias("sig"))
-        classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), *name, F.col("of.doc_id").alias("doc"), F.col("of.key").alias("key"), "sig"), "classes")
-        own = staged(sigs.select("doc_id", *name).join(classes.select("id", *name), name, "left").select("doc_id", "n_shingles", "id"), "own", lasting=True)
+        n = sigs.count()
+        classes = classes.select(F.monotonically_increasing_id().alias("id"), *name, F.col("of.doc_id").alias("doc"), F.col("of.key").alias("key"), "sig")
+        classes = staged(gathered(classes, n, NUMBERS // 8), "classes")
+        own = sigs.select("doc_id", *name).join(classes.select("id", *name), name, "left").select("doc_id", "n_shingles", "id")
+        own = staged(gathered(own, n), "own", lasting=True)
         rows = staged(forest(classes), "forest")
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * ORDERS // ROWS))
         plain = rows.withColumns({"component": F.col("id"), "crowd": F.lit(1).cast("long")})
         found, torn = candidates(plain, NEAR[0], True, parts)
-        pairs = staged(found.select("a", "b"), "pairs")
+        pairs = staged(gathered(found.select("a", "b"), n * ORDERS), "pairs")
         shared = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b"))).distinct()
         chosen = classes.join(shared, "id", "left_semi").select("id", F.coalesce("doc", F.lit(0)).alias("_doc"), "key")
         # merge joins at every size: texts move in proportion to the input, and hot ids can be split
         moved = _keyed(docs).select(F.coalesce("doc_id", F.lit(0)).alias("_doc"), "key", "text").join(chosen.hint("merge"), ["_doc", "key"])
-        texts = staged(moved.groupBy("_doc", "key", "id").agg(F.first("text").alias("text")).select("id", "text"), "texts")
-        links = staged(verify(pairs, texts, size, percent).unionByName(repeated(own)), "links")
+        texts = staged(gathered(moved.groupBy("_doc", "key", "id").agg(F.first("text").alias("text")).select("id", "text"), n, TEXTS, TASKS), "texts")
+        links = staged(gathered(verify(pairs, texts, size, percent).unionByName(repeated(own)), pairs.count(), COMPARED, TASKS), "links")
         labels = components(links)
         seen, met = pairs, None
         for near in NEAR[1:]:
             sizes = _sizes(labels)
             found, torn = candidates(_known(rows, labels, sizes), near, False, parts)
-            found = staged(found, "pairs")
+            found = staged(gathered(found, n * ORDERS), "pairs")
             pairs = found.filter(F.col("task") == PAIR).select("a", "b")
             demands = found.filter(F.col("task") == DEMAND).select(F.col("a").alias("id"), F.col("b").alias("component")).join(sizes, "component")
             if met is not None:  # a component as it was needn't be met again
                 demands = demands.join(met, ["id", "component", "crowd"], "left_anti")
             met = demands if met is None else met.unionByName(demands)
             more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent)
-            more = staged(more.unionByName(meet_crowds(demands.select("id", "component"), labels, sizes, texts, size, percent)), "links")
+            more = more.unionByName(meet_crowds(demands.select("id", "component"), labels, sizes, texts, size, percent))
+            more = staged(gathered(more, found.count(), COMPARED, TASKS), "links")
             seen = seen.unionByName(pairs)
             if more.isEmpty():
                 break
@@ -454,19 +461,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             labels = components(links)
         # what shares a region and isn't in one component by now: small ones by rare shingles, the others with the crowded component
         sizes = _sizes(labels)
-        at = staged(_known(rows, labels, sizes), "regions")
+        at = staged(gathered(_known(rows, labels, sizes), n * ORDERS), "regions")
         demands = demanded(at)
         if met is not None:
             demands = demands.join(met, ["id", "component", "crowd"], "left_anti")
-        demands = staged(demands.select("id", "component"), "demands")
+        demands = staged(gathered(demands.select("id", "component"), n * ORDERS), "demands")
         pairs, blocks = meet_wide(at, near, torn, texts, size, percent)
         more = verify(pairs.join(seen, ["a", "b"], "left_anti"), texts, size, percent).unionByName(blocks)
-        more = staged(more.unionByName(meet_crowds(demands, labels, sizes, texts, size, percent)), "links")
+        more = more.unionByName(meet_crowds(demands, labels, sizes, texts, size, percent))
+        more = staged(gathered(more, texts.count(), COMPARED, TASKS), "links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
         of = classes.select("id", "doc").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
         least = of.groupBy("component").agg(F.min("doc").alias("component_id"))
-        named = staged(of.join(least, "component").select("id", "component_id", F.lit(True).alias("_known")), "named", lasting=True)
+        named = staged(gathered(of.join(least, "component").select("id", "component_id", F.lit(True).alias("_known")), n), "named", lasting=True)
     out = own.join(named, "id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -359,3 +359,30 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in out} == set(ids)
     assert len(out) == packing.pack(at).count()
+
+
+def test_few_rows_are_staged_in_few_files(spark, docs, monkeypatch):
+    """Each file costs processes; partitions that a session asks for don't become files of a few rows. The orders' neighbours keep theirs, whose numbers name seams."""
+    from loomgraph.llm import common
+
+    files = []
+    made = common.staged_as
+
+    def seen(df, name, lasting=False):
+        out = made(df, name, lasting)
+        files.append((name, len(out[0].inputFiles())))
+        return out
+
+    monkeypatch.setattr(common, "staged_as", seen)
+    monkeypatch.setattr(components, "staged_as", seen)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = near_dedup.near_duplicates(docs, 4).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert [x for x in files if x[0] != "candidates" and x[1] > most] == []
+    assert {n for k, n in files if k in ("labels", "edges", "pairs", "own", "named") and n > spark.sparkContext.defaultParallelism} == set()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, near_dedup.near_duplicates(docs, 4).select("doc_id", "n_shingles", "component_id", "kept").collect()))

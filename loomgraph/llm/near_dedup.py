@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import shingles, tokens
 from .common import NUMBERS, gathered, scratch, staged
 from .components import components
 from .runs import runs
@@ -82,6 +82,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, key (a hash of the text, which tells the rows of a repeated doc_id apart), n_shingles, two numbers that name the set, and the signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             data, offsets = shingles.bytes_of(batch.column(1))
             sets = [shingles.shingle_set(data[a:b], size) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]

@@ -8,6 +8,9 @@ memory doesn't grow with the corpus.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from itertools import compress
@@ -31,6 +34,15 @@ def loaded(key: tuple, make: Callable[[], object]):
     return _loaded[key]
 
 
+def forget() -> None:
+    """Drops this process's tokenizers and their words: a worker outlives its operator, and the next one's needs the memory."""
+    if _loaded:
+        _loaded.clear()
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordCache:
     """Joined ids of a text as bytes, by way of its words' ids.
 

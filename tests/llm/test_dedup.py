@@ -386,3 +386,16 @@ def test_few_rows_are_staged_in_few_files(spark, docs, monkeypatch):
     assert [x for x in files if x[0] != "candidates" and x[1] > most] == []
     assert {n for k, n in files if k in ("labels", "edges", "pairs", "own", "named") and n > spark.sparkContext.defaultParallelism} == set()
     assert sorted(map(tuple, got)) == sorted(map(tuple, near_dedup.near_duplicates(docs, 4).select("doc_id", "n_shingles", "component_id", "kept").collect()))
+
+
+def test_a_worker_forgets_the_words_of_an_operator_before(monkeypatch):
+    from loomgraph.llm import tokens
+
+    class Kept:
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(near_dedup, "_keyed", lambda docs: Kept())
+    tokens.loaded(("words of another operator",), dict)
+    assert list(near_dedup.signatures(None, 4)(iter(()))) == []
+    assert ("words of another operator",) not in tokens._loaded
